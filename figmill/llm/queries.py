@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import caps, common, cutoff, mix, splits, topn
+from figmill.llm import bpe, caps, common, cutoff, mix, pack, spam, splits, topn
 from figmill.sources.tables import Stage, table
 
 PANELS_PER_ARTICLE = 16
 TOP = 12
+CAPACITY = 2048
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +76,30 @@ def p5_closest(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cutoffs(_scored(spark, d, "subject", "keep_targets"), table(spark, d, "keep_targets"), "subject", 0.0, 10.0, "closest")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    tokens = p6_ids(spark, d).select("doc_id", F.size("ids").alias("tokens"))
+    return pack.pack(Stage(tokens).df, "doc_id", "tokens", CAPACITY)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are, and how few there could be at best."""
+    packed = p7_packed(spark, d)
+    total = F.sum(F.col("tokens").cast("long"))
+    return packed.agg((F.max("container_id") + 1).alias("containers"), total.alias("tokens"), F.ceil(total / CAPACITY).alias("least"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.stuffed_pages(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_kept, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_cutoffs, p5_closest)
+    f.__name__: f
+    for f in (
+        *(p1_found, p1_splits, p2_found, p2_kept, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_cutoffs, p5_closest),
+        *(p6_ids, p7_packed, p7_report, p8_found),
+    )
 }
