@@ -13,6 +13,7 @@ import json
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,50 +67,56 @@ def _borders(ranks: dict[bytes, int]) -> str:
     for b in range(0xC2, 0xF5):
         alike[frozenset(reach[b])].append(b)
     code = lambda xs: "".join(f"\\x{{{x:x}}}" for x in sorted(xs))
-    return "(?:" + "|".join(f"(?=[{code(bs)}])" + (f"(?<![{code(before)}])" if before else "") for before, bs in alike.items()) + ")"
+    return "(?s)(?<=.)(?:" + "|".join(f"(?=[{code(bs)}])" + (f"(?<![{code(before)}])" if before else "") for before, bs in alike.items()) + ")"
 
 
 class Encoder:
-    """Expressions over one vocabulary; ids are those of the file."""
+    """Expressions over one vocabulary; ids are those of the file.
+
+    ``ranks`` is the literal bound to a lambda variable: each mention of the literal itself would be a copy of its own
+    in every task.
+    """
 
     def __init__(self, path: str = VOCABULARY):
         self.ranks = vocabulary(path)
         self.literal = _buckets(((t.decode("latin-1"), r) for t, r in self.ranks.items()), RANK_BUCKETS, "int")
         self.borders = _borders(self.ranks)
 
-    def _rank(self, token: Column) -> Column:
-        return _find(self.literal, token, RANK_BUCKETS)
-
-    def _merge(self, parts: Column) -> Column:
+    def _merge(self, parts: Column, ranks: Column) -> Column:
         """parts with every pair of the lowest rank merged, left to right; null if no pair has a rank."""
 
-        def merged(ranks: Column) -> Column:
+        def merged(found: Column) -> Column:
             def at(i: Column) -> Column:
                 x, y = F.get(parts, i - 1), F.get(parts, i)
                 joined = F.concat(F.lit(MARK), F.array_join(parts, MARK * 2), F.lit(MARK))
                 joined = F.replace(joined, F.concat(F.lit(MARK), x, F.lit(MARK * 2), y, F.lit(MARK)), F.concat(F.lit(MARK), x, y, F.lit(MARK)))
                 return F.split(F.trim(joined, F.lit(MARK)), MARK * 2)
 
-            return F.when(F.array_min(ranks).isNotNull(), _let(F.array_position(ranks, F.array_min(ranks)).cast("int"), at))
+            return F.when(F.array_min(found).isNotNull(), _let(F.array_position(found, F.array_min(found)).cast("int"), at))
 
-        return _let(F.transform(parts, lambda x, i: self._rank(F.concat(x, F.get(parts, i + 1)))), merged)
+        return _let(F.transform(parts, lambda x, i: _find(ranks, F.concat(x, F.get(parts, i + 1)), RANK_BUCKETS)), merged)
 
-    def _fold(self, piece: Column) -> Column:
+    def _fold(self, piece: Column, ranks: Column) -> Column:
         """Ids of a byte string: merges are folded over its bytes until no pair has a rank."""
         start = F.struct(F.split(piece, "").alias("parts"), F.lit(False).alias("done"))
 
         def step(state: Column, _: Column) -> Column:
-            go = _let(self._merge(state["parts"]), lambda new: F.struct(F.coalesce(new, state["parts"]).alias("parts"), new.isNull().alias("done")))
+            go = _let(self._merge(state["parts"], ranks), lambda new: F.struct(F.coalesce(new, state["parts"]).alias("parts"), new.isNull().alias("done")))
             return F.when(state["done"], state).otherwise(go)
 
         end = F.aggregate(F.sequence(F.lit(1), F.length(piece) + 1), start, step)
-        return F.transform(end["parts"], self._rank)
+        return F.transform(end["parts"], lambda x: _find(ranks, x, RANK_BUCKETS))
 
-    def encode_word(self, word: Column) -> Column:
+    def word_ids(self, word: Column, ranks: Column) -> Column:
         """Ids of one non-empty word of the pattern."""
-        piece_ids = lambda s: _let(self._rank(s), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self._fold(s)))
+        piece_ids = lambda s: _let(_find(ranks, s, RANK_BUCKETS), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self._fold(s, ranks)))
         as_bytes = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        return _let(as_bytes, lambda b: F.flatten(F.transform(F.split(b, self.borders), piece_ids)))
+        # split() would compile the borders anew for each word; regexp_replace() compiles them once.
+        marked = F.when(F.octet_length(word) == F.length(word), word).otherwise(F.regexp_replace(as_bytes, self.borders, MARK))
+        return F.flatten(F.transform(F.split(marked, MARK), piece_ids))
+
+    def encode_word(self, word: Column) -> Column:
+        return _let(self.literal, lambda ranks: self.word_ids(word, ranks))
 
     def decode(self, ids: Column) -> Column:
         """The binary text of an array of ids: its pieces one after another. Ids outside the vocabulary give null."""
@@ -126,11 +133,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-def dictionary(documents: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
-    """word, n, ids of every distinct word of all texts."""
+def dictionary(documents: DataFrame, encoder: Encoder, text: str = "text", most: int = CODES) -> DataFrame:
+    """word, ids of the ``most`` most frequent words of all texts, counted over all of them; ties fall to the smaller word."""
     counted = documents.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counted = Stage(counted).df
-    return counted.select("word", "n", encoder.encode_word(F.col("word")).alias("ids"))
+    frequent = counted.where(F.length("word") <= CODE_LENGTH).orderBy(F.desc("n"), "word").limit(most)
+    spread = Stage(frequent.select("word").repartition(documents.sparkSession.sparkContext.defaultParallelism, "word")).df
+    return spread.select("word", encoder.encode_word(F.col("word")).alias("ids"))
 
 
 def encode(documents: DataFrame, text: str = "text", ids: str = "ids", path: str = VOCABULARY, most_codes: int = CODES) -> DataFrame:
@@ -140,11 +148,13 @@ def encode(documents: DataFrame, text: str = "text", ids: str = "ids", path: str
     length are encoded whole. Repeated rows keep their number.
     """
     encoder = Encoder(path)
-    common = dictionary(documents.where(F.length(text) > 0), encoder, text).where(F.length("word") <= CODE_LENGTH)
-    rows = common.orderBy(F.desc("n"), "word").limit(most_codes).select("word", "ids").collect()
-    buckets = 1 << max(4, len(rows).bit_length() - 1)
-    codes = _buckets(((r["word"], list(r["ids"])) for r in rows), buckets, "array<int>")
-    known = lambda w: _let(_find(codes, w, buckets), lambda c: F.when(c.isNotNull(), c).otherwise(encoder.encode_word(w)))
+    rows = dictionary(documents.where(F.length(text) > 0), encoder, text, most_codes).toPandas()
+    buckets = 1 << max(4, len(rows).bit_length())
+    codes = _buckets(zip(rows["word"], map(list, map(map, repeat(int), rows["ids"])), strict=True), buckets, "array<int>")
+    every = words(F.col(text))
+
+    def of_words(ranks: Column) -> Column:
+        return _let(codes, lambda c: F.flatten(F.transform(every, lambda w: F.coalesce(_find(c, w, buckets), encoder.word_ids(w, ranks)))))
+
     nothing = F.array().cast("array<int>")
-    found = F.when(F.length(text) > 0, F.flatten(F.transform(words(F.col(text)), known))).otherwise(nothing)
-    return documents.withColumn(ids, found)
+    return documents.withColumn(ids, F.when(F.length(text) > 0, _let(encoder.literal, of_words)).otherwise(nothing))
