@@ -29,8 +29,9 @@ HAN_PER_WORD = 2.2
 #: Words without a function word that make a run; fewer suffice where the run is nearly the whole page.
 RUN_WORDS, PAGE_RUN_WORDS, PAGE_SHARE = 16, 10, 0.9
 STUFFED_SHARE = 0.5
-#: Candidates: standard deviations of slope and residual, and divergence (in nats a word), from same-language pages.
-EXTREME, DIVERGENT = 2.0, 0.01
+#: Candidates differ from same-language pages in slope or residual by EXTREME standard deviations, or in the share of
+#: function words by DIVERGENT nats a word or SCARCE standard deviations.
+EXTREME, DIVERGENT, SCARCE = 3.0, 0.03, 1.0
 #: Fewest pages of a language and size to compare with.
 PEERS = 20
 
@@ -74,7 +75,8 @@ def page_shapes(pages: DataFrame, id_column: str) -> DataFrame:
     """
     token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("word")
     counts = pages.select(id_column, token).groupBy(id_column, "word").agg(F.count("*").alias("n"))
-    hits = [F.sum(F.when(F.col("word").isin(ws.split()), F.col("n")).otherwise(0)).alias(lang) for lang, ws in FUNCTION_WORDS.items()]
+    any_language = F.col("word").isin(sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()}))
+    hits = [F.sum(F.when(any_language, F.when(F.col("word").isin(ws.split()), F.col("n")).otherwise(0)).otherwise(0)).alias(lang) for lang, ws in FUNCTION_WORDS.items()]
     classes = counts.groupBy(id_column, "n").agg(F.count("*").alias("k"), *hits)
     upto = F.sum("k").over(W.partitionBy(id_column).orderBy(F.desc("n")))
     x, y = F.log(upto - (F.col("k") - 1) / 2), F.log("n")
@@ -93,7 +95,7 @@ def page_shapes(pages: DataFrame, id_column: str) -> DataFrame:
 
 
 def candidates(shapes: DataFrame, id_column: str) -> DataFrame:
-    """id of pages whose shape is not that of same-language pages of a size within the same power of two.
+    """id and size of pages whose shape is not that of same-language pages of a size within the same power of two.
 
     Where these are fewer than PEERS, all pages of the language stand in; for pages without a function word, and thus
     a language, all that have one. The reference tables have a row for each language and power of two.
@@ -101,15 +103,15 @@ def candidates(shapes: DataFrame, id_column: str) -> DataFrame:
     shapes = shapes.withColumn("length", F.floor(F.log2("size")).cast("int")).withColumn("one", F.lit(1))
     spoken, known, levels = shapes.where("lang is not null"), shapes, [["lang", "length"], ["lang"], ["one"]]
     for level, keys in enumerate(levels):
-        means = [f(c).alias(f"{p}_{c}{level}") for c in ("slope", "residual") for p, f in (("m", F.avg), ("d", F.stddev_pop))]
-        usual = spoken.groupBy(*keys).agg(*means, F.avg("share").alias(f"usual{level}"), F.count("*").alias("pages"))
+        means = [f(c).alias(f"{p}_{c}{level}") for c in ("slope", "residual", "share") for p, f in (("m", F.avg), ("d", F.stddev_pop))]
+        usual = spoken.groupBy(*keys).agg(*means, F.count("*").alias("pages"))
         known = known.join(F.broadcast(usual.where(F.col("pages") >= (PEERS if level < 2 else 1)).drop("pages")), keys, "left")
     pick = lambda c: F.coalesce(*[f"{c}{level}" for level in range(len(levels))])
     extreme = [F.abs(F.col(c) - pick(f"m_{c}")) > EXTREME * pick(f"d_{c}") for c in ("slope", "residual")]
-    p, q = F.greatest(F.col("share"), F.lit(1e-6)), F.least(F.greatest(pick("usual"), F.lit(1e-3)), F.lit(0.999))
-    p = F.least(p, F.lit(1 - 1e-6))
+    p, q = (F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6)) for c in (F.col("share"), pick("m_share")))
     divergence = p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
-    return known.where(F.coalesce(extreme[0] | extreme[1] | ((p < q) & (divergence > DIVERGENT)), F.lit(True))).select(id_column)
+    scarce = (p < q) & ((divergence > DIVERGENT) | (q - p > SCARCE * pick("d_share")))
+    return known.where(F.coalesce(extreme[0] | extreme[1] | scarce, F.lit(True))).select(id_column, "size")
 
 
 def stuffed_share(text: Column) -> Column:
@@ -125,18 +127,32 @@ def stuffed_share(text: Column) -> Column:
     def counted(run: Column, pattern: str) -> Column:
         return F.regexp_count(run, F.lit(pattern))
 
-    def stuffed(run: Column) -> Column:
-        han, latin = counted(run, f"[{HAN}]"), counted(run, rf"[\p{{L}}\p{{N}}&&[^{HAN}]]+")
-        han_runs = counted(run, f"[{HAN}]+")
-        words = latin + F.greatest(han_runs.cast("double"), han / HAN_PER_WORD)
-        letters, digits = counted(run, r"\p{L}"), counted(run, r"[\p{N}&&[^\p{No}]]")
-        named = counted(run, rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}&&[^{HAN}]]") + han_runs
-        codes = counted(run, r"(?<![\p{L}\p{N}])[A-Z]{2,4}-?[0-9]")
+    def once(value: Column, body) -> Column:
+        """body(value) with value computed once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def text_like(run: Column, n: Column) -> Column:
         unbroken = F.length(F.array_join(F.regexp_extract_all(run, F.lit(r"[\p{L}\p{N}&&[^" + HAN + r"]]{26,}"), F.lit(0)), ""))
-        long_enough = (words >= RUN_WORDS) | ((words >= PAGE_RUN_WORDS) & (F.length(run) >= PAGE_SHARE * size))
-        plain_words = (digits <= letters) & (named >= 0.45 * (latin + han_runs)) & (codes <= 0.1 * (latin + han_runs))
-        text_like = (letters >= 0.55 * counted(run, r"\S") * F.when(digits > 0, 0.7).otherwise(1.0)) & (counted(run, r"[()\[\]{}]") <= 0.015 * F.length(run)) & (unbroken <= 0.4 * F.length(run))
-        return F.when(long_enough, F.when(plain_words, F.when(text_like, F.length(run)))).cast("long")
+        counts = F.struct(counted(run, r"\p{L}").alias("letters"), counted(run, r"[\p{N}&&[^\p{No}]]").alias("digits"), (n["latin"] + n["han_runs"]).alias("words"))
+
+        def check(c: Column) -> Column:
+            named = counted(run, rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}&&[^{HAN}]]") + n["han_runs"]
+            codes = counted(run, r"(?<![\p{L}\p{N}])[A-Z]{2,4}-?[0-9]")
+            words = (c["digits"] <= c["letters"]) & (named >= 0.45 * c["words"]) & (codes <= 0.1 * c["words"])
+            plain_share = F.when(c["digits"] > 0, 0.385).otherwise(0.55)
+            return words & (c["letters"] >= plain_share * counted(run, r"\S")) & (counted(run, r"[()\[\]{}]") <= 0.015 * F.length(run)) & (unbroken <= 0.4 * F.length(run))
+
+        return once(counts, check)
+
+    def stuffed(run: Column) -> Column:
+        counts = F.struct(counted(run, f"[{HAN}]").alias("han"), counted(run, f"[{HAN}]+").alias("han_runs"), counted(run, rf"[\p{{L}}\p{{N}}&&[^{HAN}]]+").alias("latin"))
+
+        def judge(n: Column) -> Column:
+            words = n["latin"] + F.greatest(n["han_runs"].cast("double"), n["han"] / HAN_PER_WORD)
+            long_enough = (words >= RUN_WORDS) | ((words >= PAGE_RUN_WORDS) & (F.length(run) >= PAGE_SHARE * size))
+            return F.when(long_enough, F.when(text_like(run, n), F.length(run)))
+
+        return once(counts, judge).cast("long")
 
     trimmed = F.transform(F.split(plain, _breaks()), lambda s: F.regexp_replace(s, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     runs = F.filter(trimmed, lambda s: F.length(s) >= 2 * PAGE_RUN_WORDS)
@@ -149,6 +165,9 @@ def stuffed_pages(documents: DataFrame, id_column: str = "doc_id", text: str = "
 
     Null and blank texts are never found; copies count on their own; whole texts are read.
     """
-    pages = documents.where(F.col(text).rlike(r"[\p{L}\p{N}]")).select(id_column, F.col(text).alias("text")).repartition(id_column)
+    texts = documents.where(F.col(text).rlike(r"[\p{L}\p{N}]")).select(id_column, F.col(text).alias("text"))
+    pages = texts.repartition(id_column)
     unusual = candidates(Stage(page_shapes(pages, id_column)).df, id_column)
-    return pages.join(unusual, id_column, "left_semi").where(stuffed_share(F.col("text")) > STUFFED_SHARE).select(id_column)
+    # The check names a column of either side, or Spark would move it below the join and run it on every page.
+    share = F.when(F.col("size") > 0, stuffed_share(F.col("text")))
+    return texts.join(unusual, id_column).where(share > STUFFED_SHARE).select(id_column)
