@@ -2,8 +2,8 @@
 
 Bytes are held as the Latin-1 characters of the same number, so a token is a short string. A rank map, token to id, is
 a literal of RANK_BUCKETS small maps chosen by crc32, as the look-up in a Spark map is a linear search. Distinct words
-of the whole corpus are counted and encoded once by folding ranked merges; texts then look their words up in a literal
-of the CODES most frequent words, and any rarer word is encoded in place by the same fold. No text is ever shuffled.
+of the whole corpus are counted, and the CODES most frequent are encoded once by folding ranked merges and sent to the
+texts as a literal, too; any rarer word is encoded in place by the same fold. No text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ CODES = 1 << 16
 CODE_LENGTH = 64
 #: Not a Latin-1 character, so no token has it.
 MARK = "Ā"
+#: Words of over LONG bytes are folded CHUNK bytes at a time, each chunk with the last REDO tokens before it.
+LONG, CHUNK, REDO = 96, 24, 4
 #: The pre-tokenizer's pattern with Unicode white space; alternatives that begin with other characters may change places.
 WORDS = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 
@@ -57,6 +59,10 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def _borders(ranks: dict[bytes, int]) -> str:
     """A zero-width pattern of places before a UTF-8 lead byte that no token reaches across, whatever surrounds them."""
     reach = defaultdict(set)
@@ -97,22 +103,49 @@ class Encoder:
         return _let(F.transform(parts, lambda x, i: _find(ranks, F.concat(x, F.get(parts, i + 1)), RANK_BUCKETS)), merged)
 
     def _fold(self, piece: Column, ranks: Column) -> Column:
-        """Ids of a byte string: merges are folded over its bytes until no pair has a rank."""
+        """Tokens of a byte string: merges are folded over its bytes until no pair has a rank."""
         start = F.struct(F.split(piece, "").alias("parts"), F.lit(False).alias("done"))
 
         def step(state: Column, _: Column) -> Column:
             go = _let(self._merge(state["parts"], ranks), lambda new: F.struct(F.coalesce(new, state["parts"]).alias("parts"), new.isNull().alias("done")))
             return F.when(state["done"], state).otherwise(go)
 
-        end = F.aggregate(F.sequence(F.lit(1), F.length(piece) + 1), start, step)
-        return F.transform(end["parts"], lambda x: _find(ranks, x, RANK_BUCKETS))
+        return F.aggregate(F.sequence(F.lit(1), F.length(piece) + 1), start, step)["parts"]
+
+    def _fold_long(self, piece: Column, ranks: Column) -> Column:
+        """The same tokens with work in proportion to the length.
+
+        Tokens are those of the whole if every two neighbours are the tokens of the two joined. Each chunk is folded with
+        the last tokens before it; where the first new token and its left neighbour fail this test, all so far is folded anew.
+        """
+
+        def step(state: Column, chunk: Column) -> Column:
+            kept = F.slice(state, F.lit(1), F.greatest(F.size(state) - REDO, F.lit(0)))
+
+            def join(keep: Column) -> Column:
+                redone = F.array_join(F.slice(state, F.size(keep) + 1, F.lit(REDO)), "")
+
+                def check(new: Column) -> Column:
+                    left, right = F.element_at(keep, -1), F.get(new, F.lit(0))
+                    apart = F.size(keep) == 0
+                    same = F.when(apart, True).otherwise(self._fold(F.concat(left, right), ranks) == F.array(left, right))
+                    return F.when(same, F.concat(keep, new)).otherwise(self._fold(F.concat(F.array_join(state, ""), chunk), ranks))
+
+                return _let(self._fold(F.concat(redone, chunk), ranks), check)
+
+            return _let(kept, join)
+
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.length(piece) - 1) / CHUNK).cast("int")), lambda i: F.substring(piece, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.aggregate(chunks, F.array().cast("array<string>"), step)
 
     def word_ids(self, word: Column, ranks: Column) -> Column:
         """Ids of one non-empty word of the pattern."""
-        piece_ids = lambda s: _let(_find(ranks, s, RANK_BUCKETS), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self._fold(s, ranks)))
+        rank = lambda s: _find(ranks, s, RANK_BUCKETS)
+        folded = lambda s: F.when(F.length(s) > LONG, self._fold_long(s, ranks)).otherwise(self._fold(s, ranks))
+        piece_ids = lambda s: _let(rank(s), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(folded(s), rank)))
         as_bytes = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
         # split() would compile the borders anew for each word; regexp_replace() compiles them once.
-        marked = F.when(F.octet_length(word) == F.length(word), word).otherwise(F.regexp_replace(as_bytes, self.borders, MARK))
+        marked = F.when(_ascii(word), word).otherwise(F.regexp_replace(as_bytes, self.borders, MARK))
         return F.flatten(F.transform(F.split(marked, MARK), piece_ids))
 
     def encode_word(self, word: Column) -> Column:
@@ -149,12 +182,13 @@ def encode(documents: DataFrame, text: str = "text", ids: str = "ids", path: str
     """
     encoder = Encoder(path)
     rows = dictionary(documents.where(F.length(text) > 0), encoder, text, most_codes).toPandas()
-    buckets = 1 << max(4, len(rows).bit_length())
+    buckets = 1 << max(4, len(rows).bit_length() - 2)  # each map is an object that every task unpacks
     codes = _buckets(zip(rows["word"], map(list, map(map, repeat(int), rows["ids"])), strict=True), buckets, "array<int>")
     every = words(F.col(text))
 
-    def of_words(ranks: Column) -> Column:
-        return _let(codes, lambda c: F.flatten(F.transform(every, lambda w: F.coalesce(_find(c, w, buckets), encoder.word_ids(w, ranks)))))
+    def of_words(ranks: Column, c: Column) -> Column:
+        return F.flatten(F.transform(every, lambda w: F.coalesce(_find(c, w, buckets), encoder.word_ids(w, ranks))))
 
     nothing = F.array().cast("array<int>")
-    return documents.withColumn(ids, F.when(F.length(text) > 0, _let(encoder.literal, of_words)).otherwise(nothing))
+    found = _let(encoder.literal, lambda ranks: _let(codes, lambda c: of_words(ranks, c)))
+    return documents.withColumn(ids, F.when(F.length(text) > 0, found).otherwise(nothing))
