@@ -29,6 +29,8 @@ HAN_PER_WORD = 2.2
 #: Words without a function word that make a run; fewer suffice where the run is nearly the whole page.
 RUN_WORDS, PAGE_RUN_WORDS, PAGE_SHARE = 16, 10, 0.9
 STUFFED_SHARE = 0.5
+#: Fewest letters of a word on average; runs of single letters are symbols.
+WORD_LETTERS = 2.2
 #: Candidates differ from same-language pages in slope or residual by EXTREME standard deviations, or in the share of
 #: function words by DIVERGENT nats a word or SCARCE standard deviations.
 EXTREME, DIVERGENT, SCARCE = 3.0, 0.03, 1.0
@@ -136,11 +138,13 @@ def stuffed_share(text: Column) -> Column:
         counts = F.struct(counted(run, r"\p{L}").alias("letters"), counted(run, r"[\p{N}&&[^\p{No}]]").alias("digits"), (n["latin"] + n["han_runs"]).alias("words"))
 
         def check(c: Column) -> Column:
-            named = counted(run, rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}&&[^{HAN}]]") + n["han_runs"]
+            latin = counted(run, rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}&&[^{HAN}]]")
+            named, spelled = latin + n["han_runs"], c["letters"] - n["han"] >= WORD_LETTERS * latin
             codes = counted(run, r"(?<![\p{L}\p{N}])[A-Z]{2,4}-?[0-9]")
-            words = (c["digits"] <= c["letters"]) & (named >= 0.45 * c["words"]) & (codes <= 0.1 * c["words"])
+            words = (c["digits"] <= c["letters"]) & spelled & (named >= 0.45 * c["words"]) & (codes <= 0.1 * c["words"])
+            signs = counted(run, r"[\p{No}[\p{Sm}&&[^\x00-\x7f\u2190-\u21ff]]]")
             plain_share = F.when(c["digits"] > 0, 0.385).otherwise(0.55)
-            return words & (c["letters"] >= plain_share * counted(run, r"\S")) & (counted(run, r"[()\[\]{}]") <= 0.015 * F.length(run)) & (unbroken <= 0.4 * F.length(run))
+            return words & (signs <= 0.15 * c["letters"]) & (c["letters"] >= plain_share * counted(run, r"\S")) & (counted(run, r"[()\[\]{}]") <= 0.015 * F.length(run)) & (unbroken <= 0.4 * F.length(run))
 
         return once(counts, check)
 

@@ -78,6 +78,7 @@ def misplaced(samples: DataFrame, panels: DataFrame) -> DataFrame:
 #: Small articles are hashed into so many units; articles above 1 / UNITS of all records are units of their own.
 #: The table of units and labels is all that one task sees, whatever the input.
 UNITS = 2048
+PASSES = 8
 
 
 def _assign(shares: list[tuple[str, float]]):
@@ -92,18 +93,27 @@ def _assign(shares: list[tuple[str, float]]):
         counts, total = wide.to_numpy(float), wide.to_numpy(float).sum(axis=0)
         share = np.array([s for _, s in shares])
         scale = 1 / np.maximum(total, 1)
-        have = np.zeros((len(share), counts.shape[1]))
-        size, all_rows, chosen = np.zeros(len(share)), counts.sum(), []
-        for row in counts:
-            after = have + row
-            gap, was = (after - share[:, None] * total), (have - share[:, None] * total)
-            cost = ((gap**2 - was**2) * scale).sum(axis=1)
-            n = row.sum()
+        have, size, all_rows = np.zeros((len(share), counts.shape[1])), np.zeros(len(share)), counts.sum()
+
+        def best(row) -> int:
+            gap, n = have - share[:, None] * total, row.sum()
+            cost = (((gap + row) ** 2 - gap**2) * scale).sum(axis=1)
             cost += len(total) * ((size + n - share * all_rows) ** 2 - (size - share * all_rows) ** 2) / max(all_rows, 1)
-            k = int(np.argmin(cost))
-            have[k] += row
-            size[k] += n
-            chosen.append(shares[k][0])
+            return int(np.argmin(cost))
+
+        at = np.full(len(counts), -1)
+        for _ in range(PASSES):  # the first assigns, the others move what now fits better elsewhere
+            before = at.copy()
+            for i, row in enumerate(counts):
+                if at[i] >= 0:
+                    have[at[i]] -= row
+                    size[at[i]] -= row.sum()
+                at[i] = best(row)
+                have[at[i]] += row
+                size[at[i]] += row.sum()
+            if (at == before).all():
+                break
+        chosen = [shares[k][0] for k in at]
         return pd.DataFrame({"unit": list(wide.index), "split_name": chosen})
 
     return run
