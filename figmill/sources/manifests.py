@@ -45,13 +45,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, limit: int = 0) -> DataFrame:
-    """CSV rows, all columns strings, empty fields as empty strings; limit 0 keeps all.
+    """CSV rows, all columns strings, empty fields as empty strings, columns the file lacks null; limit 0 keeps all.
 
     Without ``columns`` the header names them. A missing file gives an empty table of ``columns``.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns or []]))
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue="\0", emptyValue="", mode="PERMISSIVE")
+    df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
     if columns:
         df = df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in columns])
     return df.limit(limit) if limit else df
