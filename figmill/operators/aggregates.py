@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from figmill.operators.ordered import indexed
+
 
 def stats(c: Column, prefix: str = "") -> list[Column]:
     """count, null_count, mean, median and population deviation (0 for one value, null for none)."""
@@ -73,14 +75,13 @@ def histogram(df: DataFrame, value: Column, edges: list[float], group: list[str]
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """value, n, place: numbers first in their order, then texts; null and empty are left out.
 
-    place is a rank over the distinct values, counted before.
+    place is from 1 over the distinct values, which are counted before and numbered by partition.
     """
-    from pyspark.sql import Window as W
-
     text = F.col(column).cast("string")
     counts = df.where(text.isNotNull() & (text != "")).groupBy(text.alias("value")).agg(F.count("*").alias("n"))
     number = F.col("value").try_cast("double")
-    return counts.withColumn("place", F.row_number().over(W.orderBy(number.isNull(), number, "value")))
+    placed = indexed(counts.withColumn("__text", number.isNull()).withColumn("__number", number), ["__text", "__number", "value"], "place")
+    return placed.select("value", "n", (F.col("place") + 1).alias("place"))
 
 
 def top_counts(df: DataFrame, column: str, most: int) -> DataFrame:

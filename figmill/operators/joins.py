@@ -27,6 +27,26 @@ def overlay(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*merged, *[c for c in right.columns if c not in left.columns])
 
 
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows, else unchanged: then Spark joins by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def skew_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, hot_share: float = 0.01) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which is unique by ``key`` and has in ``rows`` how many left rows share it.
+
+    Keys with over ``hot_share`` of all rows, of which there are at most 1 / hot_share, are broadcast; only the rest
+    is shuffled, so no task gets a hot key's rows.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n")).first()["n"]
+    limit = max(1, int(total * hot_share))
+    hot = right.where(F.col(rows) > limit).drop(rows)
+    cold = right.where(F.col(rows) <= limit).drop(rows)
+    if not right.where(F.col(rows) > limit).limit(1).count():
+        return left.join(cold, key)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of both by key; a new row replaces the old one of its key. Null keys never match, so all their rows stay."""
     kept = old.join(new.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
@@ -51,7 +71,8 @@ def related(items: DataFrame, id_column: str, paper: str, kind: str, score: str,
         rank = F.row_number().over(W.partitionBy(column).orderBy(*order))
         some = items.where(F.col(column).isNotNull()).withColumn("__rank", rank).where(F.col("__rank") <= most + 1)
         top = some.select(F.col(column).alias("__key"), *columns).groupBy("__key").agg(F.collect_list(F.struct("related_id", "related_score")).alias("__top"))
-        mine = items.select(F.col(id_column), F.col(column).alias("__key")).join(top, "__key")
+        rows = items.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__key")).agg(F.count("*").alias("__rows"))
+        mine = skew_lookup(items.select(F.col(id_column), F.col(column).alias("__key")), top.join(rows, "__key"), "__key", "__rows")
         return mine.select(id_column, F.inline("__top")).withColumn("__first", F.lit(first))
 
     both = best(paper, 1).unionByName(best(kind, 0)).where(F.col("related_id") != F.col(id_column))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions.jsonx import stable_hash
 from figmill.operators import identifiers, joins, ordered
+from figmill.operators.geometry import parsed
 from figmill.plans.registry import query
 from figmill.sources import manifests
 from figmill.sources.tables import table
@@ -128,9 +129,6 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("n_name").alias("model"), F.col("r_name").alias("mode"), F.when(F.col("n_regionkey") == F.col("r_regionkey"), "own").otherwise("other").alias("status"))
 
 
-_RANKED = "select *, row_number() over (partition by {0} order by {1}) k from {2}"
-
-
 @query(
     """select c.nation, c.c_custkey, s.s_suppkey from (select c_nationkey nation, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal, c_custkey) k from customer) c
     join (select s_nationkey nation, s_suppkey, row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) k from supplier) s using (nation, k)"""
@@ -142,16 +140,24 @@ def zip_join(spark: SparkSession, d: str) -> DataFrame:
     return out.select("nation", "c_custkey", "s_suppkey")
 
 
-_ARGMIN = "order by abs(c_acctbal - s_acctbal), s_suppkey"
+_MARKS = """(select distinct paper_id, figure_index, b[1] x0, b[2] y0, b[3] x1, b[4] y1 from (select *, from_json(nullif(bbox_xyxy, ''), '["INTEGER"]') b from panels) where len(b) = 4)"""
 
 
-@query(f"select c_nationkey, c_custkey, s_suppkey from (select *, row_number() over (partition by c_custkey {_ARGMIN}) k from customer join supplier on c_nationkey = s_nationkey where abs(c_acctbal - s_acctbal) <= 2000) where k = 1")
+@query(
+    f"""select paper_id, figure_index, x0, y0, x1, y1, ox, oy from (select p.*, o.x0 ox, o.y0 oy, row_number() over (partition by p.paper_id, p.figure_index, p.x0, p.y0, p.x1, p.y1
+        order by abs(p.x0 - o.x0) * 0.65 + abs(p.y0 - o.y0), o.x0, o.y0) k from {_MARKS} p join (select distinct paper_id, figure_index, x0, y0 from {_MARKS}) o on o.paper_id = p.paper_id and o.figure_index = p.figure_index
+        where (o.x0, o.y0) <> (p.x0, p.y0) and abs(p.x0 - o.x0) * 0.65 + abs(p.y0 - o.y0) <= 400) where k = 1"""
+)
 def cost_argmin(spark: SparkSession, d: str) -> DataFrame:
-    """The right row of least cost in the same group; a cost too high is no match."""
-    points = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
-    boxes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey", "s_acctbal")
-    gap = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    return joins.nearest_in_group(points, boxes, ["c_nationkey"], "c_custkey", F.when(gap <= 2000, gap), [F.asc("s_suppkey")]).select("c_nationkey", "c_custkey", "s_suppkey")
+    """For each box the other corner of its figure of least cost; a cost too high is no match."""
+    b = table(spark, d, "panels").select("paper_id", "figure_index", parsed(F.col("bbox_xyxy")).alias("b")).where("b is not null and paper_id is not null and figure_index is not null")
+    boxes = b.select("paper_id", "figure_index", *[F.col("b")[i].cast("int").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]).distinct()
+    corners = boxes.select("paper_id", "figure_index", F.col("x0").alias("ox"), F.col("y0").alias("oy")).distinct()
+    gap = F.abs(F.col("x0") - F.col("ox")) * 0.65 + F.abs(F.col("y0") - F.col("oy"))
+    other = (F.col("ox") != F.col("x0")) | (F.col("oy") != F.col("y0"))
+    points = boxes.withColumn("box", F.struct("x0", "y0", "x1", "y1"))
+    out = joins.nearest_in_group(points, corners, ["paper_id", "figure_index"], "box", F.when(other & (gap <= 400), gap), [F.asc("ox"), F.asc("oy")])
+    return out.drop("box", "cost")
 
 
 @query("select event_type, count(*) added from (select distinct event_type, user_id from events where ts >= timestamp '2024-01-15' except select event_type, user_id from events where ts < timestamp '2024-01-15') group by 1")
