@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from figmill.operators.joins import broadcast_if_small, skew_lookup  # noqa: F401
+
 #: A paper id made from a DOI is cut at this many characters, so all forms are compared up to here.
 SLUG_LENGTH = 72
 
@@ -114,23 +116,3 @@ def labelled(samples: DataFrame, targets: DataFrame) -> DataFrame:
         to_known(F.col("subtype"), names["subtype"]).alias("subtype"),
         F.coalesce(*[to_known(F.col(c), names["complexity_level"]) for c in LEVELS]).alias("complexity_level"),
     )
-
-
-def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else unchanged: then Spark joins by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def skew_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, hot_share: float = 0.01) -> DataFrame:
-    """Inner join of ``left`` with ``right``, which is unique by ``key`` and has in ``rows`` how many left rows share it.
-
-    Keys with over ``hot_share`` of all rows, of which there are at most 1 / hot_share, are broadcast; only the rest
-    is shuffled, so no task gets a hot key's rows.
-    """
-    total = right.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n")).first()["n"]
-    limit = max(1, int(total * hot_share))
-    hot = right.where(F.col(rows) > limit).drop(rows)
-    cold = right.where(F.col(rows) <= limit).drop(rows)
-    if not right.where(F.col(rows) > limit).limit(1).count():
-        return left.join(cold, key)
-    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))

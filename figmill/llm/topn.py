@@ -38,24 +38,29 @@ def _footers(batches):
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STATS.split(", ")])
 
 
-def _read(batches):
-    """The rows of the row groups named in ``path`` and ``row_group``."""
-    import pyarrow.parquet as pq
+def _read(n: int):
+    """Reads the row groups named in ``path`` and ``row_group``: of each batch the first ``n`` distinct rows of a group, as rows are in order."""
 
-    for pdf in batches:
-        for uri, part in pdf.groupby("path"):
-            fs, path = _fs(uri)
-            file = pq.ParquetFile(path, filesystem=fs)
-            for k in sorted(part["row_group"]):
-                for batch in file.iter_batches(row_groups=[k], columns=["g", "score", "id"]):
-                    yield batch.to_pandas()[["g", "score", "id"]]
+    def run(batches):
+        import pyarrow.parquet as pq
+
+        for pdf in batches:
+            for uri, part in pdf.groupby("path"):
+                fs, path = _fs(uri)
+                file = pq.ParquetFile(path, filesystem=fs)
+                for k in sorted(part["row_group"]):
+                    for batch in file.iter_batches(row_groups=[k], columns=["g", "score", "id"]):
+                        rows = batch.to_pandas()[["g", "score", "id"]].drop_duplicates()
+                        yield rows.groupby("g", sort=False).head(n)
+
+    return run
 
 
-def top_per_group(rows: DataFrame, group: str, score: str, id_column: str, n: int, salts: int = 8, row_group_bytes: int = 8 << 20) -> DataFrame:
+def top_per_group(rows: DataFrame, group: str, score: str, id_column: str, n: int, row_group_bytes: int = 8 << 20) -> DataFrame:
     """group, score, id of the ``n`` rows of each group with the highest score, then the smallest id.
 
-    Rows are written to files clustered by group and sorted by descending score; a group is spread over up to
-    ``salts`` files, so a group with a third of all rows never falls to one task. Row groups are then read from their
+    Rows are written to files clustered by group and sorted by descending score; Spark rebalances them, so that a group
+    with a third of all rows is spread over many tasks and files. Row groups are then read from their
     footers' statistics: first, for each group, those of the highest maximum until n rows are covered, and all that
     hold several groups or have no statistics; then all others but those strictly below their group's n-th score, which is
     known by then. Rows with a null group, score or id and NaN scores have no place in an order and are left out;
@@ -63,8 +68,7 @@ def top_per_group(rows: DataFrame, group: str, score: str, id_column: str, n: in
     """
     usable = rows.select(F.col(group).alias("g"), F.col(score).cast("double").alias("score"), F.col(id_column).alias("id"))
     usable = usable.where("g is not null and score is not null and not isnan(score) and id is not null")
-    spread = F.pmod(F.xxhash64("id"), F.lit(salts))
-    clustered = usable.repartition("g", spread).sortWithinPartitions("g", F.desc("score"), "id")
+    clustered = usable.hint("rebalance", "g").sortWithinPartitions("g", F.desc("score"), "id")
     stage = Stage(clustered, {"parquet.block.size": str(row_group_bytes), "parquet.block.size.row.check.min": "100"})
     spark = rows.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(stage.path).select("path")
@@ -76,7 +80,7 @@ def top_per_group(rows: DataFrame, group: str, score: str, id_column: str, n: in
     order = [F.desc("score"), F.asc("id")]
 
     def read(which: DataFrame) -> DataFrame:
-        return which.repartition("path", "row_group").mapInPandas(_read, ROWS)
+        return which.repartition("path", "row_group").mapInPandas(_read(n), ROWS)
 
     best = Stage(capped(read(first).distinct(), "g", n, order)).df
     nth = best.groupBy("g").agg(F.when(F.count("*") >= n, F.min("score")).alias("nth"))
