@@ -55,8 +55,8 @@ def _find(maps: Column, key: Column, buckets: int) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value computed once: a fold over nothing that ends in body. (transform() would copy the result.)"""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def _ascii(c: Column) -> Column:
@@ -167,11 +167,22 @@ def words(text: Column) -> Column:
 
 
 def dictionary(documents: DataFrame, encoder: Encoder, text: str = "text", most: int = CODES) -> DataFrame:
-    """word, ids of the ``most`` most frequent words of all texts, counted over all of them; ties fall to the smaller word."""
+    """word, ids of the most frequent words of all texts, at most ``most``, all that occur more than a number of times.
+
+    Words are counted over all texts. That number is read from the counts of words by sixteenths of an octave of their
+    frequency, a table of at most a thousand rows, so nothing is sorted.
+    """
     counted = documents.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    frequent = counted.where(F.length("word") <= CODE_LENGTH).orderBy(F.desc("n"), "word").limit(most)
-    spread = Stage(frequent.select("word").repartition(documents.sparkSession.sparkContext.defaultParallelism, "word")).df
-    return spread.select("word", encoder.encode_word(F.col("word")).alias("ids"))
+    counted = counted.where(F.length("word") <= CODE_LENGTH).withColumn("octave", F.floor(F.log2("n") * 16).cast("int"))
+    counted = Stage(counted.repartition(documents.sparkSession.sparkContext.defaultParallelism, "word")).df
+    total, least = 0, None
+    for r in counted.groupBy("octave").agg(F.count("*").alias("n")).orderBy(F.desc("octave")).collect():
+        total += r["n"]
+        if total > most:
+            break
+        least = r["octave"]
+    frequent = counted.where(F.col("octave") >= least if least is not None else F.lit(False)).select("word")
+    return frequent.select("word", encoder.encode_word(F.col("word")).alias("ids"))
 
 
 def encode(documents: DataFrame, text: str = "text", ids: str = "ids", path: str = VOCABULARY, most_codes: int = CODES) -> DataFrame:
