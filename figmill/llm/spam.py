@@ -102,13 +102,14 @@ def candidates(shapes: DataFrame, id_column: str) -> DataFrame:
     Where these are fewer than PEERS, all pages of the language stand in; for pages without a function word, and thus
     a language, all that have one. The reference tables have a row for each language and power of two.
     """
-    shapes = shapes.withColumn("length", F.floor(F.log2("size")).cast("int")).withColumn("one", F.lit(1))
-    spoken, known, levels = shapes.where("lang is not null"), shapes, [["lang", "length"], ["lang"], ["one"]]
+    shapes = shapes.withColumn("length", F.floor(F.log2("size")).cast("int"))
+    spoken, known, levels = shapes.where("lang is not null"), shapes, [["lang", "length"], ["lang"]]
+    means = lambda level: [f(c).alias(f"{p}_{c}{level}") for c in ("slope", "residual", "share") for p, f in (("m", F.avg), ("d", F.stddev_pop))]
     for level, keys in enumerate(levels):
-        means = [f(c).alias(f"{p}_{c}{level}") for c in ("slope", "residual", "share") for p, f in (("m", F.avg), ("d", F.stddev_pop))]
-        usual = spoken.groupBy(*keys).agg(*means, F.count("*").alias("pages"))
-        known = known.join(F.broadcast(usual.where(F.col("pages") >= (PEERS if level < 2 else 1)).drop("pages")), keys, "left")
-    pick = lambda c: F.coalesce(*[f"{c}{level}" for level in range(len(levels))])
+        usual = spoken.groupBy(*keys).agg(*means(level), F.count("*").alias("pages"))
+        known = known.join(F.broadcast(usual.where(F.col("pages") >= PEERS).drop("pages")), keys, "left")
+    whole = spoken.agg(*means("")).first()
+    pick = lambda c: F.coalesce(*[f"{c}{level}" for level in range(len(levels))], F.lit(whole[c]).cast("double"))
     extreme = [F.abs(F.col(c) - pick(f"m_{c}")) > EXTREME * pick(f"d_{c}") for c in ("slope", "residual")]
     p, q = (F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6)) for c in (F.col("share"), pick("m_share")))
     divergence = p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
