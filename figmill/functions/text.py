@@ -101,3 +101,18 @@ def query_string(filters: dict[str, Column], defaults: dict[str, str]) -> Column
 def parsed_query(c: Column) -> Column:
     """A query string as a map; values are URL-decoded."""
     return F.transform_values(F.str_to_map(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("=")), lambda _, v: F.coalesce(F.try_url_decode(v), v))
+
+
+def alias(c: Column, names: dict[str, str], default: str | None = None) -> Column:
+    """The name an alias stands for, without regard to case, blanks and hyphens; else the default, or the text itself."""
+    key = F.replace(F.lower(F.trim(c)), F.lit("-"), F.lit("_"))
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, key), F.lit(default) if default is not None else c)
+
+
+def rendered(template: str, fields: dict[str, Column]) -> Column:
+    """The template with each {name} replaced by its column, null by nothing."""
+    out = F.lit(template)
+    for name, c in fields.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c.cast("string"), F.lit("")))
+    return out

@@ -156,6 +156,16 @@ def choose_image(members: DataFrame, group: list[str], member: str, href: str, e
     return rows.groupBy(*group).agg(F.min_by(member, F.struct("__match", "__ext", member)).alias(member))
 
 
+def resolved(df: DataFrame, path: str, files: DataFrame, file: str, roots: list[str], column: str = "found") -> DataFrame:
+    """``df`` with the first place in a file listing where the path is: as it stands, then under each root; null if nowhere."""
+    base = F.regexp_replace(F.col(path), "^/+", "")
+    places = F.array(F.struct(F.lit(-1).alias("rank"), F.col(path).alias("place")), *[F.struct(F.lit(i).alias("rank"), F.concat(F.lit(r.rstrip("/") + "/"), base).alias("place")) for i, r in enumerate(roots)])
+    asked = df.select(path).where(F.coalesce(path, F.lit("")) != "").distinct()
+    listed = files.select(F.col(file).alias("place")).distinct()
+    found = asked.select(path, F.inline(places)).join(listed, "place").groupBy(path).agg(F.min_by("place", "rank").alias(column))
+    return df.join(found, path, "left")
+
+
 def figures(papers: DataFrame) -> DataFrame:
     """One row for each figure of each paper; papers without figures have none."""
     return papers.select("paper_id", "doi", F.inline("figures")).withColumnRenamed("index", "figure_index")

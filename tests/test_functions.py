@@ -46,6 +46,8 @@ def test_search_text(spark):
     assert values(spark, lambda c: text.relevance("Bar", [(c, 10), (F.lit("bars"), 4)]), ["a bar", "no", None]) == [14, 4, 4]
     assert values(spark, lambda c: text.parsed_query(c), ["q=a%20b&sort=date", None])[0] == {"q": "a b", "sort": "date"}
     assert values(spark, lambda c: text.query_string({"q": c, "s": F.lit("x")}, {"q": "", "s": "x"}), ["a b", ""]) == ["q=a+b", ""]
+    assert values(spark, lambda c: text.alias(c, {"zero_shot": "zero"}), ["Zero-Shot ", "other", None]) == ["zero", "other", None]
+    assert values(spark, lambda c: text.rendered("<{a}> {b}", {"a": c, "b": F.lit(2)}), ["x", None]) == ["<x> 2", "<> 2"]
     assert values(spark, text.title_of_key, ["multi_line"]) == ["Multi Line"]
 
 

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from figmill.sources import manifests as M
+from figmill.sources import schemas
 from figmill.streaming import state
 
 
@@ -60,6 +61,20 @@ def test_file_choices(spark):
     assert M.one_figure(spark, "a.png", "my fig").first()["paper_id"] == "my_fig" and M.one_panel(spark, "a.png", "p").count() == 1
 
 
+def test_typed(spark):
+    df = spark.createDataFrame([("p", "3", "[1, 2, 3, 4]", "x", "True"), ("q", "no", "bad", None, "")], "paper_id string, figure_index string, bbox_xyxy string, other string, is_complete_panel string")
+    rows = schemas.typed(df, "panels").collect()
+    assert rows[0]["figure_index"] == 3 and rows[0]["bbox_xyxy"] == [1, 2, 3, 4] and rows[1]["figure_index"] is None and rows[1]["bbox_xyxy"] is None and rows[0]["doi"] is None
+    assert [r["is_complete_panel"] for r in schemas.typed(df, "scores").collect()] == [True, None]
+
+
+def test_resolved_paths(spark):
+    files = spark.createDataFrame([("/r2/a.png",), ("/r1/b.png",), ("/r2/b.png",), ("c.png",)], "file string")
+    df = spark.createDataFrame([("a.png",), ("b.png",), ("c.png",), ("d.png",), (None,)], "path string")
+    got = {r["path"]: r["found"] for r in M.resolved(df, "path", files, "file", ["/r1", "/r2/"]).collect()}
+    assert got == {"a.png": "/r2/a.png", "b.png": "/r1/b.png", "c.png": "c.png", "d.png": None, None: None}
+
+
 def test_stream_state(spark, tmp_path):
     source, kept = str(tmp_path / "in"), []
     spark.createDataFrame([("a",), ("b",), ("a",)], "k string").write.parquet(source)
