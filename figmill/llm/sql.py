@@ -106,4 +106,11 @@ SQL: dict[str, str] = {
     select subject, panel_id from record join score using (panel_id) join cut using (subject) where score >= low""",
     "p5_cutoffs": f"""with {_records("keep_targets", _known("subject", "keep_targets", "subject") + " subject")}, {SCORES}, {CUT}
     select subject, low cutoff, count(*) filter (score >= low) kept, count(*) scored from record join score using (panel_id) join cut using (subject) group by subject, low""",
+    "p5_closest": f"""with {_records("keep_targets", _known("subject", "keep_targets", "subject") + " subject")}, {SCORES}, each as (
+        select distinct subject, score, keep_permille, kept, scored from (
+            select subject, score, keep_permille, count(*) over (partition by subject order by score desc) kept, count(*) over (partition by subject) scored
+            from record join score using (panel_id) join keep_targets using (subject)))
+    select subject, cutoff, kept, scored from (
+        select subject, score cutoff, kept, scored, row_number() over (partition by subject order by abs(kept * 1000 - keep_permille * scored), score desc) k from each)
+    where k = 1""",
 }
