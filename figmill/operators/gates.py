@@ -32,6 +32,12 @@ def below(values: dict[str, Column], least: dict[str, float]) -> Column:
     return F.nullif(F.array_join(F.array_compact(F.array(*shown)), ";"), F.lit(""))
 
 
+def reaches(values: dict[str, Column], least: dict[str, float]) -> Column:
+    """Whether no value is missing or below its threshold: that ``below`` is null, without its text."""
+    ok = [v.isNotNull() & ~(v < least[name]) for name, v in values.items()]
+    return F.coalesce(F.least(*ok) if len(ok) > 1 else ok[0], F.lit(False))
+
+
 def gated(df: DataFrame, rules: list[Rule], column: str = "reasons") -> tuple[DataFrame, DataFrame]:
     """(passed, rejected); the rejected have their reasons. Together they are the input."""
     marked = df.withColumn(column, reasons(rules))

@@ -70,8 +70,8 @@ _ROUTE = f"case when category = 'schematic' then 'schematic' when category = 'da
 
 @query(f"select {_ROUTE} route, coalesce(nullif(category, ''), 'unknown') category, count(*) n from qwen_panel_scoring group by 1, 2")
 def gate_routes(spark: SparkSession, d: str) -> DataFrame:
-    failure = gates.below({c: F.col(c) for c in LEAST}, LEAST)
-    where = gates.route([("schematic", F.col("category") == "schematic"), ("data", (F.col("category") == "data_statistical") & failure.isNull())], "ignored")
+    enough = gates.reaches({c: F.col(c) for c in LEAST}, LEAST)
+    where = gates.route([("schematic", F.col("category") == "schematic"), ("data", (F.col("category") == "data_statistical") & enough)], "ignored")
     category = F.coalesce(F.nullif("category", F.lit("")), F.lit("unknown"))
     return table(spark, d, "qwen_panel_scoring").groupBy(where.alias("route"), category.alias("category")).agg(F.count("*").alias("n"))
 
