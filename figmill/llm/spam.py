@@ -29,7 +29,7 @@ HAN_PER_WORD = 2.2
 #: Words without a function word that make a run; fewer suffice where the run is nearly the whole page.
 RUN_WORDS, PAGE_RUN_WORDS, PAGE_SHARE = 16, 10, 0.9
 STUFFED_SHARE = 0.5
-#: Fewest letters of a word on average; runs of single letters are symbols.
+#: Fewest letters of a word on average, a Han character counting as two; runs of single letters are symbols.
 WORD_LETTERS = 2.2
 #: Candidates differ from same-language pages in slope or residual by EXTREME standard deviations, or in the share of
 #: function words by DIVERGENT nats a word or SCARCE standard deviations.
@@ -140,7 +140,8 @@ def stuffed_share(text: Column) -> Column:
 
         def check(c: Column) -> Column:
             latin = counted(run, rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}&&[^{HAN}]]")
-            named, spelled = latin + n["han_runs"], c["letters"] - n["han"] >= WORD_LETTERS * latin
+            named = latin + n["han_runs"]
+            spelled = c["letters"] + n["han"] >= WORD_LETTERS * named
             codes = counted(run, r"(?<![\p{L}\p{N}])[A-Z]{2,4}-?[0-9]")
             words = (c["digits"] <= c["letters"]) & spelled & (named >= 0.45 * c["words"]) & (codes <= 0.1 * c["words"])
             signs = counted(run, r"[\p{No}[\p{Sm}&&[^\x00-\x7f\u2190-\u21ff]]]")

@@ -87,6 +87,7 @@ STUFFED = [
     " ".join(f"#GraphPaper{i} #heat_map" for i in range(12)),
     "图片放大 火山图 图表模板 在线作图 " * 12,
     "nuage de points | mapa de calor | modèle gratuit | affiche | étiquette | " * 5,
+    "图片放大 | 火山图 | 热图 | 柱状图 | " * 8 + "样品的相对丰度明显升高(P = 0.133)。\n" + "热图\n柱状图\n" * 15,
     PROSE["en"] + "line graph ☆ volcano plot ☆ diagram app ☆ figure editing ☆ " * 8,
 ]
 PLAIN = [
