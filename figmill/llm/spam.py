@@ -1,8 +1,8 @@
 """Keyword-stuffed and link-list pages.
 
-Each page's rank-frequency curve is fitted by SQL windows over its word counts. Pages whose slope or residual is
-extreme, or whose share of function words diverges from prose of the same language at comparable length, are
-candidates; of these, pages more than half of which is runs of words without a function word are found.
+Pages more than half of which is runs of words without a function word are found. Every page is checked by itself:
+norms taken from the pages at hand would move with stuffed pages and their copies. Each page's rank-frequency curve is
+fitted by SQL windows over its word counts; it describes pages and decides nothing.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from figmill.sources.tables import Stage
-
 #: Function words that do not occur within the noun phrases that keywords are (so no "for", "no", "de" or "du").
 FUNCTION_WORDS: dict[str, str] = {
     "en": "the of and to in a is with on from was were we that at be but can its as this it then whether when by an which are has been have had not or if so than these those their there them they how since because although while whereas after before during under between without into per each every both either neither nor some all more most other see",
@@ -31,11 +29,6 @@ RUN_WORDS, PAGE_RUN_WORDS, PAGE_SHARE = 16, 10, 0.9
 STUFFED_SHARE = 0.5
 #: Fewest letters of a word on average, a Han character counting as two; runs of single letters are symbols.
 WORD_LETTERS = 2.2
-#: Candidates differ from same-language pages in slope or residual by EXTREME standard deviations, or in the share of
-#: function words by DIVERGENT nats a word or SCARCE standard deviations.
-EXTREME, DIVERGENT, SCARCE = 3.0, 0.03, 1.0
-#: Fewest pages of a language and size to compare with.
-PEERS = 20
 
 
 def _trie(words: set[str]) -> str:
@@ -96,37 +89,12 @@ def page_shapes(pages: DataFrame, id_column: str) -> DataFrame:
     return shape.select(id_column, "lang", "size", "slope", residual.alias("residual"), "share")
 
 
-def candidates(shapes: DataFrame, id_column: str) -> DataFrame:
-    """id and size of pages whose shape is not that of same-language pages of a size within the same power of two.
-
-    Where these are fewer than PEERS, all pages of the language stand in; for pages without a function word, and thus
-    a language, all that have one. The reference tables have a row for each language and power of two.
-    """
-    shapes = shapes.withColumn("length", F.floor(F.log2("size")).cast("int"))
-    spoken, known, levels = shapes.where("lang is not null"), shapes, [["lang", "length"], ["lang"]]
-    means = lambda level: [f(c).alias(f"{p}_{c}{level}") for c in ("slope", "residual", "share") for p, f in (("m", F.avg), ("d", F.stddev_pop))]
-    for level, keys in enumerate(levels):
-        usual = spoken.groupBy(*keys).agg(*means(level), F.count("*").alias("pages"))
-        known = known.join(F.broadcast(usual.where(F.col("pages") >= PEERS).drop("pages")), keys, "left")
-    whole = spoken.agg(*means("")).first()
-    pick = lambda c: F.coalesce(*[f"{c}{level}" for level in range(len(levels))], F.lit(whole[c]).cast("double"))
-    extreme = [F.abs(F.col(c) - pick(f"m_{c}")) > EXTREME * pick(f"d_{c}") for c in ("slope", "residual")]
-    p, q = (F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6)) for c in (F.col("share"), pick("m_share")))
-    divergence = p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
-    scarce = (p < q) & ((divergence > DIVERGENT) | (q - p > SCARCE * pick("d_share")))
-    return known.where(F.coalesce(extreme[0] | extreme[1] | scarce, F.lit(True))).select(id_column, "size")
-
-
 def stuffed_share(text: Column) -> Column:
     """Share of a page's characters in runs of keywords, links or tags; 0 for null and blank texts.
 
     Markup names and the frames of Markdown links are dropped first. Runs of mostly numbers, brackets, symbols, coded
     names or unbroken sequences are tables, code, references or data and do not count.
     """
-    plain = F.regexp_replace(text, r"\[([^\]\n]*)\]\(([^)\s]*)\)", " $1  $2 ")
-    plain = F.regexp_replace(plain, r"</?[a-zA-Z][a-zA-Z0-9]*\b|\b(?:href|content|name|class)=", " ")
-    size = F.length(F.regexp_replace(plain, r"^\s+|\s+$", ""))
-
     def counted(run: Column, pattern: str) -> Column:
         return F.regexp_count(run, F.lit(pattern))
 
@@ -150,7 +118,7 @@ def stuffed_share(text: Column) -> Column:
 
         return once(counts, check)
 
-    def stuffed(run: Column) -> Column:
+    def stuffed(run: Column, size: Column) -> Column:
         counts = F.struct(counted(run, f"[{HAN}]").alias("han"), counted(run, f"[{HAN}]+").alias("han_runs"), counted(run, rf"[\p{{L}}\p{{N}}&&[^{HAN}]]+").alias("latin"))
 
         def judge(n: Column) -> Column:
@@ -160,10 +128,19 @@ def stuffed_share(text: Column) -> Column:
 
         return once(counts, judge).cast("long")
 
-    trimmed = F.transform(F.split(plain, _breaks()), lambda s: F.regexp_replace(s, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    runs = F.filter(trimmed, lambda s: F.length(s) >= 2 * PAGE_RUN_WORDS)
-    total = F.aggregate(runs, F.lit(0).cast("long"), lambda total, s: total + F.coalesce(stuffed(s), F.lit(0)))
-    return F.coalesce(F.when(size > 0, total / size), F.lit(0.0))
+    def share(page: Column) -> Column:
+        plain, size = page["plain"], page["size"]
+        # Trimming only shortens, so that most pieces need none.
+        pieces = F.filter(F.split(plain, _breaks()), lambda s: F.length(s) >= 2 * PAGE_RUN_WORDS)
+        trimmed = F.transform(pieces, lambda s: F.regexp_replace(s, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+        runs = F.filter(trimmed, lambda s: F.length(s) >= 2 * PAGE_RUN_WORDS)
+        total = F.aggregate(runs, F.lit(0).cast("long"), lambda total, s: total + F.coalesce(stuffed(s, size), F.lit(0)))
+        return F.when(size > 0, total / size)
+
+    plain = F.regexp_replace(text, r"\[([^\]\n]*)\]\(([^)\s]*)\)", " $1  $2 ")
+    plain = F.regexp_replace(plain, r"</?[a-zA-Z][a-zA-Z0-9]*\b|\b(?:href|content|name|class)=", " ")
+    sized = once(plain, lambda p: F.struct(p.alias("plain"), F.length(F.regexp_replace(p, r"^\s+|\s+$", "")).alias("size")))
+    return F.coalesce(once(sized, share), F.lit(0.0))
 
 
 def stuffed_pages(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,8 +149,4 @@ def stuffed_pages(documents: DataFrame, id_column: str = "doc_id", text: str = "
     Null and blank texts are never found; copies count on their own; whole texts are read.
     """
     texts = documents.where(F.col(text).rlike(r"[\p{L}\p{N}]")).select(id_column, F.col(text).alias("text"))
-    pages = texts.repartition(id_column)
-    unusual = candidates(Stage(page_shapes(pages, id_column)).df, id_column)
-    # The check names a column of either side, or Spark would move it below the join and run it on every page.
-    share = F.when(F.col("size") > 0, stuffed_share(F.col("text")))
-    return texts.join(unusual, id_column).where(share > STUFFED_SHARE).select(id_column)
+    return texts.where(stuffed_share(F.col("text")) > STUFFED_SHARE).select(id_column)

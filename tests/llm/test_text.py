@@ -115,3 +115,19 @@ def test_stuffed_pages(spark):
     got = {r["doc_id"] for r in spam.stuffed_pages(df).collect()}
     assert got == set(range(len(STUFFED) + 2))
     assert spam.stuffed_pages(df.limit(0)).count() == 0
+
+
+def test_stuffed_copies_are_not_the_norm(spark):
+    """Copies of one stuffed page that has function words, as a third of all rows."""
+    plain = PLAIN * 5
+    copies = range(len(plain), len(plain) + len(plain) // 2)
+    for page in (p for p in STUFFED if any(prose in p for prose in PROSE.values()) or "样品的" in p or "modèle" in p):
+        df = spark.createDataFrame([*enumerate(plain), *((i, page) for i in copies)], "doc_id int, text string")
+        assert {r["doc_id"] for r in spam.stuffed_pages(df).collect()} == set(copies)
+
+
+def test_page_shapes(spark):
+    df = spark.createDataFrame([(1, "the the the the of of heatmap"), (2, "heatmap heatmap")], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in spam.page_shapes(df, "doc_id").collect()}
+    assert (got[1]["lang"], got[1]["size"], round(got[1]["share"], 6)) == ("en", 7, round(6 / 7, 6)) and got[1]["slope"] < -1
+    assert (got[2]["lang"], got[2]["size"], got[2]["share"], got[2]["slope"]) == (None, 2, 0.0, 0.0)
