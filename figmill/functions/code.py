@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import difflib
 import re
+import warnings
 
 import pandas as pd
 from figmill.functions.udfs import vectorized
@@ -36,4 +37,6 @@ def syntax_error(code: pd.Series) -> pd.DataFrame:
             return type(e).__name__, None
         return None, None
 
-    return pd.DataFrame([check(t) for t in code], columns=["error", "line"])
+    with warnings.catch_warnings():  # prose that is no Python warns as well
+        warnings.simplefilter("ignore")
+        return pd.DataFrame([check(t) for t in code], columns=["error", "line"])

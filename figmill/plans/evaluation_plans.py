@@ -5,24 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.functions import code
+from figmill.functions import code, jsonx
 from figmill.operators import evaluation as E
 from figmill.operators.ordered import indexed
 from figmill.plans.registry import query
 from figmill.sources.tables import Stage, table
 
 
+#: What lines of Python plotting code have; prose that has it by chance only adds rows.
+_CODE = r"(?m)^\s*(?:import |from [\w.]+ import |def )|\b(?:ax|plt)\.\w|\bfig\.savefig"
+
+
+def _codes(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, code and whether it looks like code, of each document text, wherever it was found.
+
+    A text found as code is code as it stands, whatever it looks like; of others it is the code in them.
+    """
+    as_code = F.col("section").eqNullSafe("code")
+    docs = table(spark, d, "documents").where("text is not null").withColumn("c", jsonx.code_in(F.col("text")))
+    return docs.select("doc_id", F.when(as_code, F.col("text")).otherwise(F.col("c.code")).alias("text"), (as_code | (F.col("c.strategy") != "plain") | F.col("text").rlike(_CODE)).alias("coded"))
+
+
 @query()
 def code_compiles(spark: SparkSession, d: str) -> DataFrame:
-    """Whether document texts found as code are Python; nothing is run."""
-    docs = table(spark, d, "documents").where("section = 'code' and text is not null")
-    return docs.select("doc_id", code.syntax_error("text").alias("e")).select("doc_id", F.col("e.error").alias("error"))
+    """Whether the code in each document text is Python; nothing is run."""
+    return _codes(spark, d).select("doc_id", code.syntax_error("text").alias("e")).select("doc_id", F.col("e.error").alias("error"))
 
 
 @query()
 def code_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """How alike each code is to the one before it by id."""
-    docs = table(spark, d, "documents").where("section = 'code' and text is not null").select("doc_id", "text")
+    """How alike each code is to the one before it by id; texts without code are not compared."""
+    docs = Stage(_codes(spark, d).where("coded").select("doc_id", "text")).df
     placed = Stage(indexed(docs, ["doc_id"], "place")).df
     before = placed.select((F.col("place") + 1).alias("place"), F.col("text").alias("before"))
     return placed.join(before, "place").select("doc_id", code.code_similarity("before", "text").alias("similarity"))

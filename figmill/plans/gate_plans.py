@@ -104,6 +104,13 @@ def code_predicates(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", text.any_of(F.col("text"), ["savefig"]).alias("has_save"), F.lower("text").rlike(r"\b(image\.open|imread)\b").alias("loads"))
 
 
+@query("select doc_id, instr(lower(text), 'savefig') > 0 has_save, regexp_matches(lower(text), '\\b(image\\.open|imread)\\b') loads from documents where text is not null")
+def code_predicates_all(spark: SparkSession, d: str) -> DataFrame:
+    """As code_predicates, but of all texts: code is also found outside the section of that name."""
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", text.any_of(F.col("text"), ["savefig"]).alias("has_save"), F.lower("text").rlike(r"\b(image\.open|imread)\b").alias("loads"))
+
+
 _RULES = "case " + " ".join(f"when regexp_matches(lower(t), '{p}') then '{c}'" for c, _, p in audit.LINE_RULES) + " end"
 _DOC_RULES: list[tuple[str, str, str]] = [("import", "minor", "^\\s*import "), ("save", "major", "savefig\\("), ("label", "minor", "set_[xy]label\\("), ("bar", "minor", "\\.bar\\(")]
 _DOC_CASE = "case " + " ".join(f"when regexp_matches(lower(t), '{p}') then '{c}'" for c, _, p in _DOC_RULES) + " end"
