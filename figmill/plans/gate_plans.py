@@ -128,6 +128,19 @@ def line_findings(spark: SparkSession, d: str) -> DataFrame:
     return audit.findings(docs, "doc_id", "text", _DOC_RULES, most=20).select("doc_id", F.col("line").cast("long").alias("line"), "category", "text")
 
 
+@query(
+    f"""select doc_id, line, category, text from (
+        select doc_id, line, category, text, row_number() over (partition by doc_id order by line) k from (
+            select doc_id, i line, {_DOC_CASE} category, left(trim(t), 240) "text" from (
+                select doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) t, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) i from documents where text is not null))
+        where category is not null) where k <= 80"""
+)
+def line_findings_all(spark: SparkSession, d: str) -> DataFrame:
+    """As line_findings, but of all texts and with the operator's own bound of findings a text."""
+    docs = table(spark, d, "documents").where("text is not null")
+    return audit.findings(docs, "doc_id", "text", _DOC_RULES).select("doc_id", F.col("line").cast("long").alias("line"), "category", "text")
+
+
 @query(f"select doc_id, {', '.join(f"count(*) filter (c = '{c}') {c}" for c, _, _ in audit.LINE_RULES)} from (select doc_id, {_RULES} c from (select doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) t from documents where text is not null)) where c is not null group by doc_id")
 def image_use_counts(spark: SparkSession, d: str) -> DataFrame:
     """Lines that load, copy or trace images; the first rule that matches a line counts."""

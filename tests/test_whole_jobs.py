@@ -18,3 +18,11 @@ def test_code_outside_its_section(spark, tmp_path):
     assert set(alike) == {3, 4, 5, 7} and alike[3] == alike[4] == 100.0
     marks = {r["doc_id"]: (r["has_save"], r["loads"]) for r in QUERIES["code_predicates_all"](spark, d).collect()}
     assert marks == {1: (True, False), 2: (False, False), 3: (True, False), 4: (True, False), 5: (False, False), 7: (False, True)}
+
+
+def test_findings_up_to_the_bound(spark, tmp_path):
+    d = documents(spark, tmp_path, [(1, "import a\n" * 25, "code"), (2, "x\n" + "import a\n" * 90, "web_page")])
+    lines = {}
+    for r in QUERIES["line_findings_all"](spark, d).collect():
+        lines.setdefault(r["doc_id"], []).append(r["line"])
+    assert {i: sorted(n) for i, n in lines.items()} == {1: list(range(1, 26)), 2: list(range(2, 82))}
