@@ -110,6 +110,23 @@ def lenient_casts(spark: SparkSession, d: str) -> DataFrame:
     return e.where("v <> 'Yes'").select("event_id", casts.number_or_null(F.col("v")).alias("number"), casts.truthy(F.col("v")).alias("truth"))
 
 
+_EXPONENT = _NUMBER.replace("\\s*$", "([eE][+-]?[0-9]+)?\\s*$")
+
+
+@query(
+    f"""select event_id, case when regexp_matches(v, {_EXPONENT}) then trim(v)::double end number, coalesce(lower(trim(v)) in ('1', 'true', 'yes', 'y'), false) truth
+    from (select event_id, case event_id % 8 when 0 then value::varchar when 1 then ' 9 ' when 2 then '3d' when 3 then 'Yes' when 4 then '' when 5 then '1' when 6 then '-2.5E-3' end v from events)"""
+)
+def lenient_casts_all(spark: SparkSession, d: str) -> DataFrame:
+    """As lenient_casts, but of all events, with words, exponents and nulls among the texts."""
+    k = F.col("event_id") % 8
+    v = F.when(k == 0, F.col("value").cast("string"))
+    for i, text_of in enumerate([" 9 ", "3d", "Yes", "", "1", "-2.5E-3"], 1):
+        v = v.when(k == i, text_of)
+    e = table(spark, d, "events").withColumn("v", v)
+    return e.select("event_id", casts.number_or_null(F.col("v")).alias("number"), casts.truthy(F.col("v")).alias("truth"))
+
+
 _CLAMP = "round(case when {0} is null then 0 when isnan({0}) then 10 else greatest(0, least(10, {0})) end, 3)"
 
 

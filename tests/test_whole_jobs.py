@@ -26,3 +26,10 @@ def test_findings_up_to_the_bound(spark, tmp_path):
     for r in QUERIES["line_findings_all"](spark, d).collect():
         lines.setdefault(r["doc_id"], []).append(r["line"])
     assert {i: sorted(n) for i, n in lines.items()} == {1: list(range(1, 26)), 2: list(range(2, 82))}
+
+
+def test_casts_of_all_texts(spark, tmp_path):
+    spark.createDataFrame([(i, None if i == 16 else 1e-5) for i in range(17)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: (r["number"], r["truth"]) for r in QUERIES["lenient_casts_all"](spark, str(tmp_path)).collect()}
+    one = [(1e-5, False), (9.0, False), (None, False), (None, True), (None, False), (1.0, True), (-0.0025, False), (None, False)]
+    assert got == dict(enumerate([*one, *one, (None, False)]))
