@@ -103,31 +103,88 @@ PLAIN = [
 ]
 
 
+#: Frames of sentences; {} are words made for the test, so that only the frames' own words are frequent.
+FRAMES = {
+    "en": ["The {} of the {} was kept in the {} and then the {} were measured again.", "It is the {} that we have on the {}, but not the {} of a {}.", "We found that the {} is in the {} and that a {} was near the {}."],
+    "de": ["Die {} der {} wurde in der {} gemessen und die {} war nicht stabil.", "Wir haben die {} mit der {} in einer {} gesehen, und das {} ist nicht die {}.", "Das {} ist in der {} und die {} war auf der {}."],
+    "fr": ["La {} de ce {} est dans le {} et les {} ont été mesurés.", "Nous avons vu que le {} est sur la {} et que les {} ne sont pas là.", "Les {} ont été vus après le {}, car une {} est dans un {}."],
+    "es": ["La {} de este {} se midió en el {} y los {} no fueron {}.", "El {} es lo que se ve en un {} y en la {} de los {}.", "Los {} y las {} son el {} que se tiene en una {}."],
+    "zh": ["样品的{}被测量了,并且{}的结果是{}。", "我们的{}和{}是{}中的,也是{}的。", "该{}的{}与{}的{}为一。"],
+}
+LETTERS = {"zh": "水木金土石田禾竹米虫鱼马牛羊鸟犬日月星云雨风雪江河湖海松柏梅兰菊桃李杏梨枣瓜豆麦稻"}
+
+
+def prose_pages(pages=60, seed=20):
+    rng = random.Random(seed)
+    out = []
+    for lang, frames in FRAMES.items():
+        letters = LETTERS.get(lang, "bdfgklmnprstvz")
+        word = lambda: "".join(rng.choice(letters) + ("" if lang in LETTERS else rng.choice("aeiou")) for _ in range(rng.randrange(2, 4)))  # noqa: B023, E731
+        for _ in range(pages):
+            sentences = [f.format(*[word() for _ in range(f.count("{}"))]) for f in rng.choices(frames, k=rng.randrange(6, 20))]
+            out.append((" ".join(sentences), lang))
+    return out
+
+
+FOREIGN = [
+    "Учёные измерили рост клеток новым способом и тщательно сравнили полученные результаты с прежними данными. ",
+    "Bilim insanları hücrelerin büyümesini yeni bir yöntemle ölçtü ve sonuçları önceki verilerle dikkatle karşılaştırdı. ",
+    "Naukowcy zmierzyli wzrost komórek nową metodą i starannie porównali otrzymane wyniki z wcześniejszymi danymi. ",
+    "قاس العلماء نمو الخلايا بطريقة جديدة وقارنوا النتائج بعناية مع البيانات السابقة في المختبر. ",
+    "研究者は新しい方法で細胞の成長を測定し、その結果を以前のデータと注意深く比較しました。",
+]
+BREAKS = spam.breaks([w for ws in ("the of was were in and for then again had not been at", "die der und wurden nach weil war aus dem", "les ont été après car la est pas le", "las se de porque no fue en el", "并 的") for w in ws.split()])
+
+
+def corpus():
+    """(rows, ids of stuffed pages): each stuffed page in three slightly different texts, so that its words are known."""
+    rows = prose_pages()
+    stuffed = range(len(rows), len(rows) + 3 * len(STUFFED))
+    rows += [(f"{p} {k}", lang) for p in STUFFED for k, lang in enumerate(("en", None, "und"))]
+    return rows + [(p, "en") for p in PLAIN * 3], set(stuffed)
+
+
+def found_in(spark, rows):
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id int, text string, lang string").withColumn("size", F.lit(1)).withColumn("key", F.lit("clash"))
+    return {r["doc_id"] for r in spam.stuffed_pages(df).collect()}
+
+
 def test_stuffed_share(spark):
-    df = spark.createDataFrame([(t,) for t in STUFFED + PLAIN], "text string")
-    shares = [r[0] for r in df.select(spam.stuffed_share(F.col("text"))).collect()]
-    assert [s > 0.5 for s in shares] == [True] * len(STUFFED) + [False] * len(PLAIN)
+    df = spark.createDataFrame([(t,) for t in STUFFED[:-3] + PLAIN if t not in FOREIGN], "text string")
+    shares = [r[0] for r in df.select(spam.stuffed_share(F.col("text"), F.lit(BREAKS))).collect()]
+    assert [s > 0.5 for s in shares] == [True] * len(STUFFED[:-3]) + [False] * len(PLAIN)
 
 
 def test_stuffed_pages(spark):
-    rows = [(i, t) for i, t in enumerate(STUFFED + STUFFED[:2] + PLAIN * 5 + ["", None, " \n", "x"])]
-    df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("size", F.lit(1))
-    got = {r["doc_id"] for r in spam.stuffed_pages(df).collect()}
-    assert got == set(range(len(STUFFED) + 2))
-    assert spam.stuffed_pages(df.limit(0)).count() == 0
+    rows, stuffed = corpus()
+    got = found_in(spark, [*rows, ("", None), (None, "en"), (" \n", "en"), ("x", None)])
+    assert len(got & stuffed) >= 0.85 * len(stuffed) and got <= stuffed
+    empty = spark.createDataFrame([], "doc_id int, text string, lang string")
+    assert spam.stuffed_pages(empty).count() == 0
+
+
+def test_other_languages_and_copies(spark):
+    """Sentences in languages without a reference are not found, and copies of a stuffed page with words of prose, as a third of all rows, are not the norm."""
+    rows, stuffed = corpus()
+    foreign = [(s * 4, lang) for s in FOREIGN for lang in ("en", None)]
+    copies = range(len(rows) + len(foreign), len(rows) + len(foreign) + len(rows) // 2)
+    got = found_in(spark, rows + foreign + [(f"{STUFFED[-1]} 0", "en")] * len(copies))
+    assert set(copies) <= got <= stuffed | set(copies)
+    # By itself the check would take a sentence of an unknown language for keywords.
+    share = spark.createDataFrame([(FOREIGN[1] * 4,)], "text string").select(spam.stuffed_share(F.col("text"), F.lit(BREAKS)))
+    assert share.first()[0] > 0.5
 
 
-def test_stuffed_copies_are_not_the_norm(spark):
-    """Copies of one stuffed page that has function words, as a third of all rows."""
-    plain = PLAIN * 5
-    copies = range(len(plain), len(plain) + len(plain) // 2)
-    for page in (p for p in STUFFED if any(prose in p for prose in PROSE.values()) or "样品的" in p or "modèle" in p):
-        df = spark.createDataFrame([*enumerate(plain), *((i, page) for i in copies)], "doc_id int, text string")
-        assert {r["doc_id"] for r in spam.stuffed_pages(df).collect()} == set(copies)
+def test_no_labels_and_few_pages(spark):
+    rows, _ = corpus()
+    rows = [(i, t) for i, (t, lang) in enumerate(rows) if i < 60 or t.startswith(STUFFED[1])]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert {r["doc_id"] for r in spam.stuffed_pages(df).collect()} == {i for i, _ in rows if i >= 60}
+    assert spam.stuffed_pages(df.limit(20)).count() == 0  # fewer texts than make a reference
 
 
 def test_page_shapes(spark):
-    df = spark.createDataFrame([(1, "the the the the of of heatmap"), (2, "heatmap heatmap")], "doc_id int, text string")
-    got = {r["doc_id"]: r for r in spam.page_shapes(df, "doc_id").collect()}
-    assert (got[1]["lang"], got[1]["size"], round(got[1]["share"], 6)) == ("en", 7, round(6 / 7, 6)) and got[1]["slope"] < -1
-    assert (got[2]["lang"], got[2]["size"], got[2]["share"], got[2]["slope"]) == (None, 2, 0.0, 0.0)
+    df = spark.createDataFrame([("The the the THE of of heatmap", "en"), ("heatmap heatmap", None), ("heatmap heatmap", "de"), ("?!", "en")], "text string, label string")
+    got = {r["size"]: r for r in spam.page_shapes(df).collect()}
+    assert set(got) == {7, 2} and got[7]["slope"] < -1 and (got[2]["slope"], got[2]["copies"], got[2]["label"]) == (0.0, 2, "de")
+    assert [tuple(w) for w in got[7]["words"]] == [("heatmap", 1), ("of", 2), ("the", 4)]
