@@ -88,11 +88,11 @@ def page_shapes(texts: DataFrame) -> DataFrame:
 
     slope and residual (root mean square) are those of the least-squares line of log frequency over log rank, words of
     equal frequency taking their mean rank. Copies are reduced to one row within each task, so that a text with a third
-    of all rows sends one row a task; the one shuffle carries word counts instead of texts, and all windows keep
-    to it. label is the greatest of the labels of a text. Texts without a word have no row.
+    of all rows sends one row a task; that is the only shuffle, and counting and all windows keep to it. label is the greatest of the labels of a text. Texts without a word have no row.
     """
-    counted = texts.select(*_text_keys(F.col("text")), "label", word_counts(F.col("text")).alias("words"))
-    once = counted.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.max("label").alias("label"), F.first("words").alias("words"))
+    keyed = texts.select(*_text_keys(F.col("text")), "label", "text")
+    once = keyed.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.max("label").alias("label"), F.first("text").alias("text"))
+    once = once.select(*_KEY, "copies", "label", word_counts(F.col("text")).alias("words"))
     # Equal frequencies are counted within the row by the same kind of fold, so windows see a few rows a text.
     ordered = F.sort_array(F.transform("words", lambda w: w["n"]), False)
 
