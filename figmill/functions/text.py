@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A panel mark of a caption: at its start or after . or ; a letter or letter range, before a capital, digit or bracket.
-MARK = r"(?:(?<=^)|(?<=[.;]))\s*([a-z])\s*(?:-\s*([a-z]))?\s*(?:[,.)]\s*)?(?=[A-Z0-9(])"
 LABELS = "labels array<string>, segments map<string,string>"
 
 
@@ -15,22 +13,52 @@ def one_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, "–—", "--"), r"(?U)\s+", " "))
 
 
+def _char(c: Column) -> Column:
+    return F.substring(c, 1, 1)
+
+
+def _after(c: Column) -> Column:
+    return F.ltrim(F.substr(c, F.lit(2)))
+
+
+def _mark(sentence: Column) -> Column:
+    """Struct of the first and last letter that a sentence's head names, null where it is none.
+
+    A head is a small letter, or two with a hyphen between, perhaps a comma, dot or bracket, and then a capital, digit or bracket.
+    """
+    text = F.ltrim(sentence)
+    rest = _after(text)
+    other = F.ltrim(F.substr(rest, F.lit(2)))
+    ranged = rest.startswith("-") & _char(other).rlike("[a-z]")
+    rest = F.when(ranged, _after(other)).otherwise(rest)
+    rest = F.when(_char(rest).isin(",", ".", ")"), _after(rest)).otherwise(rest)
+    is_mark = _char(text).rlike("[a-z]") & _char(rest).rlike("[A-Z0-9(]")
+    return F.when(is_mark, F.struct(_char(text).alias("first"), F.when(ranged, _char(other)).otherwise(_char(text)).alias("last")))
+
+
 def caption_labels(c: Column) -> Column:
     """Struct of the labels of a caption in order of first mention and a map of label to its part of the caption.
 
-    A range a-d names four labels. A part runs to the next mark; a label named twice keeps its last part. A null
-    caption gives no labels.
+    A caption is read sentence by sentence (up to a dot or semicolon; the dot of a lone mark such as "a." ends none).
+    A sentence that begins with a mark starts a part, which goes on until the next such sentence. A range a-d names
+    four labels. A label named twice keeps its last part. A null caption gives no labels.
     """
     text = one_line(F.coalesce(c, F.lit("")))
-    # A mark's place is where the text is split: each piece but the first begins with its mark.
-    pieces = F.filter(F.split(text, f"(?={MARK})"), lambda p: p.rlike("^" + MARK.replace("(?:(?<=^)|(?<=[.;]))", "")))
+    sentences = F.split(text, r"(?<=[.;])(?<!(?:^|[.;]|[.;] )[a-z]\.)(?<!(?:^|[.;]|[.;] )[a-z] ?- ?[a-z]\.)")
+    none = F.array().cast("array<struct<mark:struct<first:string,last:string>,value:string>>")
+
+    def add(parts: Column, s: Column) -> Column:
+        mark, last = _mark(s), F.element_at(parts, -1)
+        longer = F.array(F.struct(last["mark"].alias("mark"), F.concat(last["value"], s).alias("value")))
+        going_on = F.when(F.size(parts) > 0, F.concat(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), longer)).otherwise(parts)
+        return F.when(mark.isNotNull(), F.concat(parts, F.array(F.struct(mark.alias("mark"), s.alias("value"))))).otherwise(going_on)
 
-    def names(piece: Column) -> Column:
-        first, last = F.regexp_extract(piece, r"^\s*([a-z])", 1), F.regexp_extract(piece, r"^\s*[a-z]\s*-\s*([a-z])\s*(?:[,.)]\s*)?(?=[A-Z0-9(])", 1)
-        many = (last != "") & (last >= first)
-        return F.when(many, F.transform(F.sequence(F.ascii(first), F.ascii(F.when(many, last).otherwise(first))), lambda x: F.char(x))).otherwise(F.array(first))
+    def names(mark: Column) -> Column:
+        many = mark["last"] >= mark["first"]
+        return F.transform(F.sequence(F.ascii(mark["first"]), F.ascii(F.when(many, mark["last"]).otherwise(mark["first"]))), lambda x: F.char(x))
 
-    entries = F.flatten(F.transform(pieces, lambda p: F.transform(names(p), lambda n: F.struct(n.alias("key"), F.trim(p).alias("value")))))
+    parts = F.aggregate(sentences, none, add)
+    entries = F.flatten(F.transform(parts, lambda p: F.transform(names(p["mark"]), lambda n: F.struct(n.alias("key"), F.trim(p["value"]).alias("value")))))
     labels = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     last = F.transform(labels, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"].alias("value")))
     return F.struct(labels.alias("labels"), F.map_from_entries(last).alias("segments"))

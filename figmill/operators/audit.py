@@ -5,17 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules in order: category, severity, pattern (without regard to case). The first that matches a line counts.
-LINE_RULES: list[tuple[str, str, str]] = [
-    ("image_load", "major", r"\b(image\.open|imread)\b"),
-    ("source_reference", "critical", r"(target\.png|target_pdf|source_figure|target_path)"),
-    ("copied_data", "critical", r"(shutil\.copy|copyfile|b64decode|bytesio\()"),
-    ("pixel_loop", "major", r"(putpixel|pixels?\[|ndindex)"),
-    ("raster", "major", r"(fromarray\(|imshow\(|image\.new\()"),
-]
+#: A rule: category, severity, and a pattern of lower-case text. Rules are data of the caller; the first that matches a line counts.
+Rule = tuple[str, str, str]
 
 
-def rule_of(line: Column, rules: list[tuple[str, str, str]]) -> Column:
+def rule_of(line: Column, rules: list[Rule]) -> Column:
     """Struct of category and severity of the first rule that matches; null if none does."""
     out = None
     for category, severity, pattern in rules:
@@ -24,13 +18,13 @@ def rule_of(line: Column, rules: list[tuple[str, str, str]]) -> Column:
     return out
 
 
-def findings(df: DataFrame, id_column: str, code: str, rules: list[tuple[str, str, str]] = LINE_RULES, most: int = 80, width: int = 240) -> DataFrame:
+def findings(df: DataFrame, id_column: str, code: str, rules: list[Rule], most: int = 80, width: int = 240) -> DataFrame:
     """id, line, category, severity, text of the first ``most`` lines of each text that match a rule."""
     lines = F.transform(F.split(code, r"\r\n|\n|\r"), lambda x, i: F.struct((i + 1).alias("line"), F.left(F.trim(x), F.lit(width)).alias("text"), rule_of(x, rules).alias("rule")))
     hits = F.slice(F.filter(lines, lambda x: x["rule"].isNotNull()), 1, most)
     return df.select(id_column, F.inline(hits)).select(id_column, "line", F.col("rule.category").alias("category"), F.col("rule.severity").alias("severity"), "text")
 
 
-def finding_counts(found: DataFrame, id_column: str) -> DataFrame:
-    """Findings of each category for each text that has any."""
-    return found.groupBy(id_column).agg(*[F.count_if(F.col("category") == c).alias(c) for c, _, _ in LINE_RULES])
+def finding_counts(found: DataFrame, id_column: str, categories: list[str]) -> DataFrame:
+    """Findings of each of ``categories`` for each text that has any."""
+    return found.groupBy(id_column).agg(*[F.count_if(F.col("category") == c).alias(c) for c in categories])

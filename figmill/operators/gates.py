@@ -65,3 +65,11 @@ def within(column: str, allowed: list | None) -> Column:
 def missing_of(required: list[str], present: Column) -> Column:
     """The required names that ``present`` (an array, null counts as empty) lacks."""
     return F.array_except(F.array(*map(F.lit, required)), F.coalesce(present, F.array().cast("array<string>")))
+
+
+def small_list(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """Rows of the distinct values of a column, nulls aside, for use as a literal; more than ``most`` are an error, never cut."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column}: more than {most} values; join them instead")
+    return rows

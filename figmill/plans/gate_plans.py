@@ -111,7 +111,13 @@ def code_predicates_all(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", text.any_of(F.col("text"), ["savefig"]).alias("has_save"), F.lower("text").rlike(r"\b(image\.open|imread)\b").alias("loads"))
 
 
-_RULES = "case " + " ".join(f"when regexp_matches(lower(t), '{p}') then '{c}'" for c, _, p in audit.LINE_RULES) + " end"
+#: Lines that take a picture from somewhere instead of drawing it.
+_PICTURE_RULES: list[tuple[str, str, str]] = [
+    ("reads_picture", "major", r"\b(imread|image\.open|loadimg)\s*\("),
+    ("unpacks_bytes", "critical", r"\b(b64decode|frombytes|frombuffer|bytesio)\s*\("),
+    ("copies_file", "critical", r"\b(copyfile|copy2|shutil\.\w+)\s*\("),
+    ("shows_raster", "minor", r"\b(imshow|figimage|imsave)\s*\("),
+]
 _DOC_RULES: list[tuple[str, str, str]] = [("import", "minor", "^\\s*import "), ("save", "major", "savefig\\("), ("label", "minor", "set_[xy]label\\("), ("bar", "minor", "\\.bar\\(")]
 _DOC_CASE = "case " + " ".join(f"when regexp_matches(lower(t), '{p}') then '{c}'" for c, _, p in _DOC_RULES) + " end"
 
@@ -141,11 +147,17 @@ def line_findings_all(spark: SparkSession, d: str) -> DataFrame:
     return audit.findings(docs, "doc_id", "text", _DOC_RULES).select("doc_id", F.col("line").cast("long").alias("line"), "category", "text")
 
 
-@query(f"select doc_id, {', '.join(f"count(*) filter (c = '{c}') {c}" for c, _, _ in audit.LINE_RULES)} from (select doc_id, {_RULES} c from (select doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) t from documents where text is not null)) where c is not null group by doc_id")
+@query(
+    r"""with line as (select doc_id, lower(unnest(string_split_regex(text, '\r\n|\n|\r'))) t from documents where text is not null), named as (
+        select doc_id, case when regexp_matches(t, '\b(imread|image\.open|loadimg)\s*\(') then 1 when regexp_matches(t, '\b(b64decode|frombytes|frombuffer|bytesio)\s*\(') then 2
+            when regexp_matches(t, '\b(copyfile|copy2|shutil\.\w+)\s*\(') then 3 when regexp_matches(t, '\b(imshow|figimage|imsave)\s*\(') then 4 end k from line)
+    select doc_id, count(*) filter (k = 1) reads_picture, count(*) filter (k = 2) unpacks_bytes, count(*) filter (k = 3) copies_file, count(*) filter (k = 4) shows_raster
+    from named where k is not null group by doc_id"""
+)
 def image_use_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that load, copy or trace images; the first rule that matches a line counts."""
-    found = audit.findings(table(spark, d, "documents").where("text is not null"), "doc_id", "text", most=1_000_000_000)
-    return audit.finding_counts(found, "doc_id")
+    """Lines that take a picture from somewhere; the first rule that matches a line counts."""
+    found = audit.findings(table(spark, d, "documents").where("text is not null"), "doc_id", "text", _PICTURE_RULES, most=1_000_000_000)
+    return audit.finding_counts(found, "doc_id", [c for c, _, _ in _PICTURE_RULES])
 
 
 @query("select message, regexp_matches(lower(message), 'rate limit|timeout|timed out|overloaded|connection reset') retry from (select distinct short_reason message from qwen_panel_scoring)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figmill.functions import casts, ids, jsonx, text
-from figmill.operators import facets, identifiers
+from figmill.operators import facets, gates, identifiers
 from figmill.plans.registry import query
 from figmill.sources.tables import table
 
@@ -139,7 +139,7 @@ _CLAMP = "round(case when {0} is null then 0 when isnan({0}) then 10 else greate
 def score_records(spark: SparkSession, d: str) -> DataFrame:
     """Score records brought to their schema from JSON texts."""
     s = table(spark, d, "qwen_panel_scoring")
-    names = sorted(r[0] for r in table(spark, d, "mix_targets").select("subtype").where("subtype is not null").distinct().limit(1000).collect())
+    names = sorted(r[0] for r in gates.small_list(table(spark, d, "mix_targets"), "subtype"))
     read = F.from_json(F.to_json(F.struct(*[c for c in s.columns if c not in ("panel_id", "scored_at", "ingested_at")])), "map<string,string>")
     out = s.select("panel_id", "scored_at", jsonx.score_record(read, names).alias("r"))
     return out.select("panel_id", "scored_at", *[f"r.{c}" for c in ("category", "data_subtype", "data_purity_score", "overall_quality_score", "is_good_quality")])

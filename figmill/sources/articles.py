@@ -30,17 +30,17 @@ def publication_date(xml: Column) -> Column:
 def figures(xml: Column, most: int = 1_000_000) -> Column:
     """Array of (figure_index, label, caption, member) of the figures of the body, numbered from 1.
 
-    Figures without an image, and those whose image was named before, are left out.
+    The body is first cut into its fig elements, each of which is then read for itself, so that a figure without a
+    label, or a caption with paragraphs and markup, shifts no other. Absent labels and captions are empty. Figures without an image,
+    and those whose image was named before, are left out.
     """
-    count = F.xpath_int(xml, F.lit("count(//body//fig)"))
-    hrefs = F.xpath(xml, F.lit("//body//fig/graphic[1]/@*[local-name()='href']"))
-    numbers = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-    # XPath takes no variable, so labels, captions and links of all figures are read at once, one of each a figure.
-    labels, captions = F.xpath(xml, F.lit("//body//fig[graphic]/label/text()")), F.xpath(xml, F.lit("//body//fig[graphic]/caption//text()"))
-    whole = F.size(labels) == F.size(hrefs)
-    rows = F.transform(F.slice(numbers, F.lit(1), F.size(hrefs)), lambda i: F.struct(F.when(whole, F.get(labels, i - 1)).alias("label"), F.when(F.size(captions) == F.size(hrefs), F.get(captions, i - 1)).alias("caption"), F.get(hrefs, i - 1).alias("member")))
-    new = F.filter(rows, lambda r, i: F.coalesce(F.array_position(hrefs, r["member"]) == i + 1, F.lit(False)))
-    kept = F.slice(new, 1, most)
+    body = F.regexp_extract(F.coalesce(xml, F.lit("")), r"(?s)<body[\s>].*</body>", 0)
+    each = F.regexp_extract_all(body, F.lit(r"(?s)<fig(?:\s[^>]*)?>.*?</fig>"), F.lit(0))
+    each = F.transform(each, lambda f: F.regexp_replace(f, r"\s[A-Za-z]+:href=", " href="))  # a piece doesn't declare its prefixes
+    rows = F.transform(each, lambda f: F.struct(text_at(f, "/fig/label").alias("label"), text_at(f, "/fig/caption").alias("caption"), F.xpath_string(f, F.lit("(/fig//graphic)[1]/@href")).alias("member")))
+    rows = F.filter(rows, lambda r: F.coalesce(r["member"], F.lit("")) != "")
+    members = F.transform(rows, lambda r: r["member"])
+    kept = F.slice(F.filter(rows, lambda r, i: F.array_position(members, r["member"]) == i + 1), 1, most)
     return F.transform(kept, lambda r, i: F.struct((i + 1).alias("figure_index"), r["label"].alias("label"), r["caption"].alias("caption"), r["member"].alias("member")))
 
 

@@ -23,6 +23,25 @@ def test_articles(spark):
     assert p[0]["p"]["link"] == "https://host/p.tar.gz" and p[0]["p"]["license"] == "CC BY" and p[1]["p"] is None and p[2]["p"] is None
 
 
+def test_marked_up_figures(spark):
+    xml = """<article xmlns:xlink="x"><body><sec><fig id="f1"><label>Fig. 1</label><caption><title>A <b>bold</b> title</title><p>First <i>part</i>; second.</p></caption><graphic xlink:href="a.tif"/></fig>
+<fig-group><fig><caption><p>No label.</p></caption><graphic xlink:href="b.tif"/></fig></fig-group><fig><label>Fig. 3</label></fig>
+<fig><label>Fig. 4</label><alternatives><graphic xlink:href="c.tif"/><graphic xlink:href="c2.tif"/></alternatives></fig></sec></body><back><fig><graphic xlink:href="z.tif"/></fig></back></article>"""
+    got = spark.createDataFrame([(xml,), (None,)], "x string").coalesce(1).select(X.figures(F.col("x")).alias("f")).collect()
+    assert [tuple(f) for f in got[0]["f"]] == [(1, "Fig. 1", "A bold titleFirst part; second.", "a.tif"), (2, "", "No label.", "b.tif"), (3, "Fig. 4", "", "c.tif")]
+    assert got[1]["f"] == []
+
+
+def test_disjoint_pairs(spark):
+    """Three boxes over each other, a null side, and copies; a box cut below the least size is dropped."""
+    rows = [("f", 1, 0, 0, 100, 100, "k"), ("f", 2, 60, 0, 160, 100, None), ("f", 3, 0, 70, 100, 170, "k"), ("f", 4, None, 0, 9, 9, "k"), (None, 5, 0, 0, 50, 50, "k"), ("g", 6, 0, 0, 20, 90, "k")]
+    df = spark.createDataFrame(rows, "fig string, box int, x0 int, y0 int, x1 int, y1 int, note string")
+    got = {r["box"]: tuple(r)[2:6] for r in G.disjoint(df, ["fig"]).collect()}
+    # 1 and 2 are cut at x = 80, then 1 and 3 at y = 85, then 2 and 3, whose centres differ more in y, at (100 + 85) / 2, to even.
+    assert got == {1: (0, 0, 80, 85), 2: (80, 0, 160, 92), 3: (0, 92, 100, 170)}
+    assert G.disjoint(df.limit(0), ["fig"]).columns == df.columns
+
+
 def test_code(spark):
     df = spark.createDataFrame([("x = 1  # a", "x = 1"), ("x", None), ("", "y")], "a string, b string").coalesce(1)
     assert [r[0] for r in df.select(code.code_similarity("a", "b")).collect()] == [100.0, None, None]

@@ -34,6 +34,9 @@ def test_ids(spark):
 
 
 def test_caption_labels(spark):
+    heads = values(spark, text.caption_labels, ["a. First one. b) Second; c, Third. Not d Fourth", "a – c Range. b Again.", "c-a Backwards. d Next", "Intro. e(x) in brackets. f lower case", "g-h. Both 1. i 2 j"])
+    assert [h["labels"] for h in heads] == [["a", "b", "c"], ["a", "b", "c"], ["c", "d"], ["e"], ["g", "h", "i"]]
+    assert heads[0]["segments"] == {"a": "a. First one.", "b": "b) Second;", "c": "c, Third. Not d Fourth"} and heads[1]["segments"]["b"] == "b Again."
     got = values(spark, text.caption_labels, ["a Sample sizes. b-d Grouped outcomes. e Final panel.", None, "No marks here", "a One. a Two."])
     assert got[0]["labels"] == list("abcde") and "Grouped outcomes" in got[0]["segments"]["c"]
     assert got[1]["labels"] == [] and got[2]["labels"] == []
@@ -53,6 +56,7 @@ def test_search_text(spark):
 
 def test_json_and_code(spark):
     assert values(spark, jsonx.json_in, ['<think>{"a":0}</think> x ```json\n{"a": 1}\n``` y', 'text {"b": {"c": 2}} end', "none", None]) == ['{"a": 1}', '{"b": {"c": 2}}', None, None]
+    assert values(spark, jsonx.json_in, ['```json\n{"a": {"b": 1}}```', '```json {"a" 1', '{"x": 1} ```json\n[1]\n``` {"y": 2}', "}{", "<think>no end {1}"]) == ['{"a": {"b": 1}}', None, '{"x": 1} ```json\n[1]\n``` {"y": 2}', None, "{1}"]
     got = values(spark, jsonx.code_in, ['{"code": "x = 1"}', "hi\n```\nshort\n```\n```python\nimport os\n```", "<code>y</code>", "Sure.\nimport re\nz", "plain"])
     assert [(r["strategy"], r["code"]) for r in got] == [("json", "x = 1"), ("python_fence", "import os"), ("tag", "y"), ("plain", "import re\nz"), ("plain", "plain")]
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from figmill.operators import aggregates as A
@@ -87,7 +89,28 @@ def test_boxes(spark):
 
 def test_line_findings(spark):
     df = spark.createDataFrame([(1, "x\nimg = plt.imread('target.png')\r\nok"), (2, None)], "id int, code string")
-    assert [tuple(r)[:4] for r in audit.findings(df, "id", "code").collect()] == [(1, 2, "image_load", "major")]
+    rules = [("load", "major", r"imread\("), ("save", "minor", r"savefig")]
+    found = audit.findings(df, "id", "code", rules)
+    assert [tuple(r)[:4] for r in found.collect()] == [(1, 2, "load", "major")]
+    assert [tuple(r) for r in audit.finding_counts(found, "id", ["load", "save"]).collect()] == [(1, 1, 0)]
+
+
+def test_picture_rules(spark):
+    from figmill.plans.gate_plans import _PICTURE_RULES
+
+    lines = {"a = plt.imread ('x')": "reads_picture", "Image.open(p)": "reads_picture", "io.BytesIO(b)": "unpacks_bytes", "np.frombuffer(b)": "unpacks_bytes", "shutil.move(a, b)": "copies_file", "copyfile(a, b)": "copies_file", "ax.imshow(z)": "shows_raster", "ax.plot(x)": None, "opened = 1": None, "imread": None}
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, code string")
+    got = {r["id"]: r["category"] for r in audit.findings(df, "id", "code", _PICTURE_RULES).collect()}
+    assert [got.get(i) for i in range(len(lines))] == list(lines.values())
+
+
+def test_small_list(spark):
+    from figmill.operators import gates
+
+    df = spark.range(1001).selectExpr("cast(id as string) name").union(spark.sql("select cast(null as string)"))
+    assert len(gates.small_list(df, "name")) == 1001
+    with pytest.raises(ValueError):
+        gates.small_list(df, "name", 1000)
 
 
 def test_mined_json(spark):
