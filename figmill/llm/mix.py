@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from figmill.operators.joins import broadcast_if_small
+from figmill.sources.tables import Stage
+
 CATEGORIES = ["subject", "subtype", "complexity_level"]
 #: Cells are combinations of known names and null, so their number is bounded by the lists of names, not by the rows.
 MAX_CELLS = 1_000_000
@@ -46,37 +49,43 @@ def rake(counts: np.ndarray, margins: list[tuple[list[np.ndarray], list[float]]]
     return take
 
 
-def plan_draw(cells: dict[tuple, int], quotas: list[dict], records: int) -> dict[tuple, int]:
-    """Rows to take from each cell for one draw: raked, rounded by largest remainders, then minimums repaired.
-
-    A quota needs the greater of min_rows and floor(target_permille * d / 1000) rows. Where it has fewer after the
-    rounding, rows of its fullest-remaining cells are added and, if no quota falls below its need by it, taken from
-    others, so that the size stays d; where that is impossible the needs count more than the size.
-    """
-    keys = sorted(cells, key=lambda c: tuple((x is not None, x or "") for x in c))
-    counts = np.array([cells[k] for k in keys], float)
-    if not keys or not quotas:
-        return {}
-    d = quotas[0]["size_permille"] * records // 1000
-    masks = [np.array([_matches(k, tuple(q[c] for c in CATEGORIES)) for k in keys]) for q in quotas]
-    by_margin: dict[tuple, list[int]] = {}
-    for i, q in enumerate(quotas):
-        by_margin.setdefault(tuple(q[c] is not None for c in CATEGORIES), []).append(i)
-    margins = [([masks[i] for i in ids], [quotas[i]["target_permille"] / 1000 for i in ids]) for ids in by_margin.values()]
-    wish = rake(counts, margins, d)
-    take = np.floor(wish + 1e-9)
-    for i in np.argsort(-(wish - take), kind="stable")[: max(0, int(round(wish.sum() - take.sum())))]:
-        take[i] = min(counts[i], take[i] + 1)
-    needs = [min(max(q["min_rows"], q["target_permille"] * d // 1000), int(counts[m].sum())) for q, m in zip(quotas, masks, strict=True)]
-    for mask, need in zip(masks, needs, strict=True):
-        while (lack := need - int(take[mask].sum())) > 0:
-            room = np.where(mask, counts - take, 0)
-            i = int(np.argmax(room))
-            take[i] += min(lack, math.ceil(room[i] / 2), room[i])
-    for i in np.argsort(-take, kind="stable"):  # give back what the repair added beyond d
-        spare = min([take[i], take.sum() - d, *(take[m].sum() - n for m, n in zip(masks, needs, strict=True) if m[i])])
-        take[i] -= max(0, int(spare))
-    return {k: int(t) for k, t in zip(keys, take, strict=True) if t > 0}
+class Draw:
+    """The cells, quotas and raked weights of one draw, all on the driver: their number is bounded by the lists of names."""
+
+    def __init__(self, cells: dict[tuple, int], quotas: list[dict], records: int):
+        self.keys = sorted(cells, key=lambda c: tuple((x is not None, x or "") for x in c))
+        self.counts = np.array([cells[k] for k in self.keys], float)
+        self.size = quotas[0]["size_permille"] * records // 1000 if quotas else 0
+        self.masks = [np.array([_matches(k, tuple(q[c] for c in CATEGORIES)) for k in self.keys], bool) for q in quotas]
+        self.needs = [min(max(q["min_rows"], q["target_permille"] * self.size // 1000), int(self.counts[m].sum())) for q, m in zip(quotas, self.masks, strict=True)]
+        by_margin: dict[tuple, list[int]] = {}
+        for i, q in enumerate(quotas):
+            by_margin.setdefault(tuple(q[c] is not None for c in CATEGORIES), []).append(i)
+        margins = [([self.masks[i] for i in ids], [quotas[i]["target_permille"] / 1000 for i in ids]) for ids in by_margin.values()]
+        self.wish = rake(self.counts, margins, self.size) if self.keys else self.counts
+
+    def weights(self) -> dict[tuple, float]:
+        """Rate of the exponential key of each cell's records: with it, a record is drawn with the raked probability, wish / count."""
+        share = np.clip(self.wish / np.maximum(self.counts, 1), 0, 1 - 1e-9)
+        return {k: float(-math.log1p(-p)) for k, p in zip(self.keys, share, strict=True) if p > 0}
+
+    def repaired(self, drawn: dict[tuple, int]) -> dict[tuple, int]:
+        """Rows of each cell after the drawn ones are repaired to every quota's minimum.
+
+        A quota needs the greater of min_rows and floor(target_permille * size / 1000) rows, as far as there are so
+        many. Where it has fewer, rows of its fullest-remaining cells are added and, if no quota falls below its need
+        by it, taken from others, so that the size stays; where that is impossible the needs count more than the size.
+        """
+        take = np.array([drawn.get(k, 0) for k in self.keys], float)
+        for mask, need in zip(self.masks, self.needs, strict=True):
+            while (lack := need - int(take[mask].sum())) > 0:
+                room = np.where(mask, self.counts - take, 0)
+                i = int(np.argmax(room))
+                take[i] += min(lack, math.ceil(room[i] / 2), room[i])
+        for i in np.argsort(-take, kind="stable"):  # give back what the repair added beyond the size
+            spare = min([take[i], take.sum() - self.size, *(take[m].sum() - n for m, n in zip(self.masks, self.needs, strict=True) if m[i])])
+            take[i] -= max(0, int(spare))
+        return {k: int(t) for k, t in zip(self.keys, take, strict=True) if t > 0}
 
 
 def take_by_key(rows: DataFrame, plan: DataFrame, strata: list[str], key: str, tie: str) -> DataFrame:
@@ -93,19 +102,22 @@ def take_by_key(rows: DataFrame, plan: DataFrame, strata: list[str], key: str, t
     edge = F.max(F.when(F.col("__upto") >= F.col("take"), F.struct("__bucket", (F.col("take") - F.col("__upto") + F.col("__n")).alias("left"))))
     edges = counts.groupBy(*strata).agg(edge.alias("__edge"))
     edges = edges.select(*strata, F.coalesce(F.col("__edge.__bucket"), F.lit(-1)).alias("__at"), F.coalesce(F.col("__edge.left"), F.lit(0)).alias("__left"))
-    rows = rows.join(F.broadcast(edges), strata).where(F.col("__bucket") >= F.col("__at"))
+    rows = rows.join(broadcast_if_small(edges), strata).where(F.col("__bucket") >= F.col("__at"))
     ranked = rows.where(F.col("__bucket") == F.col("__at")).withColumn("__rank", F.row_number().over(W.partitionBy(*strata).orderBy(F.desc(key), tie)))
     return rows.where(F.col("__bucket") > F.col("__at")).drop("__bucket", "__at", "__left").unionByName(ranked.where("__rank <= __left").drop("__bucket", "__at", "__left", "__rank"))
 
 
-def draw(labelled: DataFrame, quotas: DataFrame, id_column: str = "panel_id") -> tuple[DataFrame, DataFrame]:
+def draw(labelled: DataFrame, quotas: DataFrame, id_column: str = "panel_id", seed: str = "") -> tuple[DataFrame, DataFrame]:
     """(sample, report) of each draw of ``quotas`` from ``labelled`` (id, categories).
 
     sample: draw_name, id. report: quota_no, draw_name, needed, available, drawn, gap, where available counts the
     records that name every non-null category of the quota, and gap is what is missing from needed. Records whose
-    labels are null match only quotas that leave these categories open. The counts of cells, at most MAX_CELLS, are
-    planned on the driver; records stay distributed. The draw is the same in every run: the exponential key of a record,
-    -ln(u) / weight, has u from a hash of its id and the draw, and within a cell, where weights are equal, its order is that of u.
+    labels are null match only quotas that leave these categories open.
+
+    Every record has an exponential key -ln(u) / weight in every draw, with u from a hash of ``seed``, its id and the draw and the
+    raked weight of its cell; the records of least keys, as many as the draw's size, are drawn. Then minimums are repaired: a cell gives
+    or takes the records next in the order of their keys. The same seed gives the same draw. The counts of cells, at most
+    MAX_CELLS, are planned on the driver; records stay distributed.
     """
     spark = labelled.sparkSession
     cells = labelled.groupBy(*CATEGORIES).agg(F.count("*").alias("n")).limit(MAX_CELLS + 1).collect()
@@ -116,18 +128,30 @@ def draw(labelled: DataFrame, quotas: DataFrame, id_column: str = "panel_id") ->
     by_draw: dict[str, list[dict]] = {}
     for q in quotas.orderBy("quota_no").collect():
         by_draw.setdefault(q["draw_name"], []).append(q.asDict())
-    code = [F.coalesce(F.col(c), F.lit("\0")) for c in CATEGORIES]  # no known name has this character
-    schema = "draw_name string, c0 string, c1 string, c2 string, take long"
-    plan = [(name, *(x or "\0" for x in cell), t) for name, qs in sorted(by_draw.items()) for cell, t in plan_draw(counts, qs, records).items()]
-    u = F.shiftrightunsigned(F.xxhash64(id_column, "draw_name"), 11) / F.lit(float(1 << 53))
-    names = F.array(*[F.lit(x) for x in sorted(by_draw)]) if by_draw else F.array().cast("array<string>")
-    entries = labelled.select(id_column, *[c.alias(f"c{i}") for i, c in enumerate(code)], F.explode(names).alias("draw_name")).withColumn("__u", u)
-    sample = take_by_key(entries, spark.createDataFrame(plan, schema), ["draw_name", "c0", "c1", "c2"], "__u", id_column)
-    drawn = sample.groupBy("draw_name", "c0", "c1", "c2").agg(F.count("*").alias("drawn"))
-    every = [(name, *(x or "\0" for x in cell), n) for name in sorted(by_draw) for cell, n in counts.items()]
-    every = spark.createDataFrame(every, "draw_name string, c0 string, c1 string, c2 string, available long")
+    draws = {name: Draw(counts, qs, records) for name, qs in sorted(by_draw.items())}
+    code = ["draw_name", "c0", "c1", "c2"]
+    coded = lambda cell: [x or "\0" for x in cell]  # noqa: E731  # no known name has this character
+    at = lambda what: f"draw_name string, c0 string, c1 string, c2 string, {what}"
+    weights = spark.createDataFrame([(name, *coded(cell), w) for name, d in draws.items() for cell, w in d.weights().items()], at("weight double"))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_column, "draw_name"), 11) / F.lit(float(1 << 53))
+    names = F.array(*[F.lit(x) for x in draws]) if draws else F.array().cast("array<string>")
+    entries = labelled.select(id_column, *[F.coalesce(F.col(c), F.lit("\0")).alias(f"c{i}") for i, c in enumerate(CATEGORIES)], F.explode(names).alias("draw_name"))
+    # 1 / (1 + key) has the order of keys turned round and lies in 0 to 1, as take_by_key wants it. Cells of no weight come last.
+    key = -F.log(F.greatest(u, F.lit(1e-300))) / F.col("weight")
+    entries = entries.join(broadcast_if_small(weights), code, "left").select(id_column, *code, F.coalesce(1 / (1 + key), F.lit(0.0)).alias("__key"))
+    entries = Stage(entries).df
+    sizes = spark.createDataFrame([(name, d.size) for name, d in draws.items()], "draw_name string, take long")
+    first = take_by_key(entries.where("__key > 0"), sizes, ["draw_name"], "__key", id_column)
+    drawn: dict[str, dict[tuple, int]] = {}
+    for r in first.groupBy(*code).agg(F.count("*").alias("n")).collect():  # cells of draws, as bounded as the weights
+        drawn.setdefault(r["draw_name"], {})[tuple(None if r[c] == "\0" else r[c] for c in code[1:])] = r["n"]
+    plan = [(name, *coded(cell), t) for name, d in draws.items() for cell, t in d.repaired(drawn.get(name, {})).items()]
+    sample = Stage(take_by_key(entries, spark.createDataFrame(plan, at("take long")), code, "__key", id_column)).df
+    taken = sample.groupBy(*code).agg(F.count("*").alias("drawn"))
+    every = [(name, *coded(cell), n) for name in draws for cell, n in counts.items()]
+    every = spark.createDataFrame(every, at("available long"))
     patterns = F.array(*[F.struct(*[F.lit("\1").alias(f"k{i}") if b >> i & 1 else F.col(f"c{i}").alias(f"k{i}") for i in range(3)]) for b in range(8)])
-    sums = every.join(F.broadcast(drawn), ["draw_name", "c0", "c1", "c2"], "left").select("draw_name", "available", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.explode(patterns).alias("k"))
+    sums = every.join(broadcast_if_small(taken), code, "left").select("draw_name", "available", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.explode(patterns).alias("k"))
     sums = sums.groupBy("draw_name", "k").agg(F.sum("available").alias("available"), F.sum("drawn").alias("drawn"))
     sums = sums.select("draw_name", "k.*", "available", "drawn")
     size = F.floor(F.col("size_permille").cast("long") * records / 1000).cast("long")

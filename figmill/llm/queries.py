@@ -24,6 +24,12 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.article_splits(t["panels"], t["samples"], t["mix_targets"], t["split_targets"])
 
 
+def p1_split_report(spark: SparkSession, d: str) -> DataFrame:
+    """Of each split, whether its share is within 5 per mille of its target, and how many of its articles are torn."""
+    report = splits.split_report(Stage(p1_splits(spark, d)).df, table(spark, d, "panels"), table(spark, d, "split_targets"))
+    return report.select("split_name", (F.abs("gap_permille") <= 5).alias("near"), "torn")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     _, removed = caps.capped_articles(table(spark, d, "panels"), table(spark, d, "qwen_panel_scoring"), PANELS_PER_ARTICLE)
     return removed.select("panel_id")
@@ -99,7 +105,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        *(p1_found, p1_splits, p2_found, p2_kept, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_cutoffs, p5_closest),
+        *(p1_found, p1_splits, p1_split_report, p2_found, p2_kept, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_cutoffs, p5_closest),
         *(p6_ids, p7_packed, p7_report, p8_found),
     )
 }

@@ -141,7 +141,8 @@ def split_groups(members: DataFrame, targets: list[tuple[str, float]]) -> DataFr
 def article_splits(panels: DataFrame, samples: DataFrame, mix: DataFrame, targets: DataFrame) -> DataFrame:
     """panel_id, split_name of every panel of panels and every record of samples; an article is in one split only.
 
-    A panel_id that names no known article is a group of its own prefix.
+    An article that panels lacks is a group by the DOI or PMCID that the text before __fig names, in whatever form; a
+    panel_id that names neither is a group of its own prefix.
     """
     shares = [(r["split_name"], r["share_permille"] / 1000) for r in targets.orderBy("split_name").collect()]
     subject = C.known_names(mix, "subject")
@@ -151,8 +152,27 @@ def article_splits(panels: DataFrame, samples: DataFrame, mix: DataFrame, target
     homes = homes_of(both, panels)
     prefix = F.coalesce(C.before_fig(F.col("panel_id")), F.col("panel_id"))
     counts = both.select(prefix.alias("prefix"), "stratum").groupBy("prefix", "stratum").agg(F.count("*").alias("n"))
-    groups = counts.join(homes.select("prefix", "home_id"), "prefix", "left").withColumn("group", F.coalesce("home_id", "prefix"))
-    groups = Stage(groups).df
+    group = F.coalesce("home_id", C.paper_key(F.col("prefix")), F.col("prefix"))
+    groups = Stage(counts.join(homes.select("prefix", "home_id"), "prefix", "left").withColumn("group", group)).df
     named = split_groups(groups.select("group", "stratum", "n"), shares)
     by_prefix = groups.groupBy("prefix", "group").agg(F.sum("n").alias("records")).join(named, "group").select("prefix", "split_name", "records")
     return C.skew_lookup(both.select("panel_id", prefix.alias("prefix")), Stage(by_prefix).df, "prefix", "records").select("panel_id", "split_name")
+
+
+def split_report(assigned: DataFrame, panels: DataFrame, targets: DataFrame) -> DataFrame:
+    """split_name, share_permille, records, gap_permille, torn of each split of ``targets``.
+
+    gap_permille is how far the split's share of all records is from its target. torn counts the articles of the split that
+    are in another one, too: they are found anew from the keys that panel_ids name, not from the groups that were assigned.
+    """
+    labels, _ = articles(panels)
+    prefix = F.coalesce(C.before_fig(F.col("panel_id")), F.col("panel_id"))
+    entity = F.coalesce(C.paper_key(prefix), F.concat(F.lit("r:"), prefix))
+    mine = assigned.groupBy(entity.alias("entity"), "split_name").agg(F.count("*").alias("n")).join(labels, "entity", "left")
+    mine = mine.groupBy(F.coalesce("label", "entity").alias("article"), "split_name").agg(F.sum("n").alias("n"))
+    in_splits = mine.groupBy("article").agg(F.collect_list(F.struct("split_name", "n")).alias("each"))  # at most one entry a split
+    per = in_splits.select(F.inline("each"), (F.size("each") > 1).alias("torn")).groupBy("split_name").agg(F.sum("n").alias("records"), F.count_if("torn").alias("torn"))
+    total = per.agg(F.sum("records").alias("all"))
+    report = targets.select("split_name", "share_permille").join(per, "split_name", "left").join(F.broadcast(total))
+    records = F.coalesce("records", F.lit(0))
+    return report.select("split_name", "share_permille", records.alias("records"), (records * 1000 / F.col("all") - F.col("share_permille")).alias("gap_permille"), F.coalesce("torn", F.lit(0)).alias("torn"))

@@ -96,6 +96,7 @@ SQL: dict[str, str] = {
         and trim(panel_id) not in ('', 'unknown')
     ) select panel_id, home_id paper_id from own join label on entity = coalesce({_doi("prefix")}, {_pmc("prefix")}, 'r:' || prefix)
     join home using (label) where prefix <> home_id""",
+    "p1_split_report": "select split_name, true near, 0::bigint torn from split_targets",
     "p2_found": f"with recursive {ARTICLES}, {SCORES}, {BEST} select panel_id from ranked where k > 16",
     "p2_kept": f"with recursive {ARTICLES}, {SCORES}, {BEST} select panel_id, score from ranked where k <= 16",
     "p3_found": f"with {LABELLED}, {NEED} select quota_no from need where available < needed",

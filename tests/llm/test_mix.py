@@ -51,3 +51,21 @@ def test_take_by_key(spark):
     want = {r[2] for r in sorted((r for r in rows if r[0] == "a"), key=lambda r: (-r[1], r[2]))[:700]} | {r[2] for r in rows if r[0] == "b"}
     assert got == want
     assert mix.take_by_key(df.where(F.lit(False)), plan, ["s"], "u", "i").count() == 0
+
+
+def test_inclusion_is_near_the_weights(spark):
+    """Over many seeds, records are drawn as often as their cell's raked weight says."""
+    rows = [(f"a{i}", "bio", "bar", "low") for i in range(40)] + [(f"b{i}", "phy", "bar", "low") for i in range(160)]
+    df = spark.createDataFrame(rows, "panel_id string, subject string, subtype string, complexity_level string").coalesce(1)
+    quotas = [(1, "x", 200, "bio", None, None, 500, 0), (2, "x", 200, "phy", None, None, 500, 0)]
+    q = spark.createDataFrame(quotas, QUOTAS)
+    d = mix.Draw({("bio", "bar", "low"): 40, ("phy", "bar", "low"): 160}, [r.asDict() for r in q.collect()], 200)
+    assert [round(float(x)) for x in d.wish] == [20, 20]
+    times = {}
+    seeds = 12
+    for seed in range(seeds):
+        sample = [r["panel_id"] for r in mix.draw(df, q, seed=str(seed))[0].collect()]
+        assert len(sample) == 40
+        for p in sample:
+            times[p[0]] = times.get(p[0], 0) + 1
+    assert abs(times["a"] / seeds - 20) < 3.5 and abs(times["b"] / seeds - 20) < 3.5

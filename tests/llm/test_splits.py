@@ -105,3 +105,23 @@ def test_skew_lookup(spark):
     right = spark.createDataFrame([("h", "H", 500), ("c", "C", 1)], "k string, v string, rows long")
     rows = common.skew_lookup(left, right, "k", "rows", 0.1).collect()
     assert len(rows) == 501 and {r["v"] for r in rows} == {"H", "C"}
+
+
+def test_articles_that_panels_lacks_stay_whole(spark):
+    """Every written form of a DOI or PMCID is one article, whether panels has it or not."""
+    panels = [(f"10-5555-a{i}", f"10.5555/a{i}", None, 1, "a", 1) for i in range(30)] + [("PMC00000007", "10.5555/a7", None, 1, "b", 2)]
+    df = spark.createDataFrame(panels, "paper_id string, doi string, pmcid string, figure_index int, panel_label string, panel_ordinal int")
+    ids = [f"{form.format(i, chr(97 + i))}__fig0{k}_a" for i in range(20) for k, form in enumerate(("10-5555-zz{1}{1}", "https_doi.org_10.5555_ZZ{1}{1}", "doi_10.5555_zz{1}{1}", "PMC123456{0:02d}", "pmc-123456{0:02d}"), 1)]
+    samples = spark.createDataFrame([(x, "bio", 1) for x in ids] + [("no prefix", "bio", 1), ("unknown", "bio", 1)], "panel_id string, subject string, loaded_at int")
+    names = spark.createDataFrame([("bio",)], "subject string")
+    targets = spark.createDataFrame([("train", 600), ("valid", 200), ("test", 200)], "split_name string, share_permille int")
+    assigned = splits.article_splits(df, samples, names, targets)
+    got = {r["panel_id"]: r["split_name"] for r in assigned.collect()}
+    assert len(got) == 31 + len(ids) + 1
+    for i in range(20):
+        assert len({got[x] for x in ids[5 * i : 5 * i + 3]}) == 1 and len({got[x] for x in ids[5 * i + 3 : 5 * i + 5]}) == 1
+    assert got["10-5555-a7__fig01_a"] == got["PMC00000007__fig01_b"]
+    report = {r["split_name"]: r for r in splits.split_report(assigned, df, targets).collect()}
+    assert set(report) == {"train", "valid", "test"} and all(r["torn"] == 0 for r in report.values()) and sum(r["records"] for r in report.values()) == len(got)
+    torn = spark.createDataFrame([("10-5555-zzaa__fig01_a", "train"), ("doi_10.5555_zzaa__fig03_a", "test")], "panel_id string, split_name string")
+    assert {r["split_name"]: r["torn"] for r in splits.split_report(torn, df, targets).collect()} == {"train": 1, "test": 1, "valid": 0}
