@@ -68,6 +68,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_per_group(_scored(spark, d, "subtype", "mix_targets"), "subtype", "score", "panel_id", TOP).select("subtype", "panel_id")
 
 
+def p4_skips(spark: SparkSession, d: str) -> DataFrame:
+    """How many row groups p4_found's method reads and skips, with row groups small enough for these tables to have many."""
+    return topn.skips(_scored(spark, d, "subtype", "mix_targets"), "subtype", "score", "panel_id", TOP, row_group_bytes=1 << 14)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     scored = Stage(_scored(spark, d, "subject", "keep_targets")).df
     cuts = Stage(cutoff.cutoffs(scored, table(spark, d, "keep_targets"), "subject", 0.0, 10.0)).df
@@ -105,7 +110,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        *(p1_found, p1_splits, p1_split_report, p2_found, p2_kept, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_cutoffs, p5_closest),
+        *(p1_found, p1_splits, p1_split_report, p2_found, p2_kept, p3_found, p3_report, p3_sample, p4_found, p4_skips, p5_found, p5_cutoffs, p5_closest),
         *(p6_ids, p7_packed, p7_report, p8_found),
     )
 }

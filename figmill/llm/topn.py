@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from figmill.llm.caps import capped
+from figmill.operators.joins import broadcast_if_small
 from figmill.sources.tables import Stage
 
-STATS = "path string, row_group int, n long, least_group string, most_group string, least_score double, most_score double"
+FOOTERS = "name string, path string, starts array<long>"
 ROWS = "g string, score double, id string"
 
 
@@ -20,7 +23,7 @@ def _fs(uri: str):
 
 
 def _footers(batches):
-    """Row-group statistics of the files named in ``path``."""
+    """The first row of each row group of the files named in ``path``."""
     import pandas as pd
     import pyarrow.parquet as pq
 
@@ -28,14 +31,11 @@ def _footers(batches):
         out = []
         for uri in pdf["path"]:
             fs, path = _fs(uri)
-            meta = pq.ParquetFile(path, filesystem=fs).metadata
-            at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+            meta, starts = pq.ParquetFile(path, filesystem=fs).metadata, [0]
             for k in range(meta.num_row_groups):
-                group = meta.row_group(k)
-                g, s = group.column(at["g"]).statistics, group.column(at["score"]).statistics
-                whole = g is not None and g.has_min_max and s is not None and s.has_min_max
-                out.append((uri, k, group.num_rows, *((g.min, g.max, s.min, s.max) if whole else (None,) * 4)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATS.split(", ")])
+                starts.append(starts[-1] + meta.row_group(k).num_rows)
+            out.append((uri.rsplit("/", 1)[-1], uri, starts[:-1]))
+        yield pd.DataFrame(out, columns=["name", "path", "starts"])
 
 
 def _read(n: int):
@@ -56,35 +56,72 @@ def _read(n: int):
     return run
 
 
-def top_per_group(rows: DataFrame, group: str, score: str, id_column: str, n: int, row_group_bytes: int = 8 << 20) -> DataFrame:
-    """group, score, id of the ``n`` rows of each group with the highest score, then the smallest id.
+@dataclass
+class Clustered:
+    """Rows (g, score, id) in files, and for each row group the rows and maximum of every group in it: (path, row_group, g, n, most)."""
+
+    stage: Stage
+    index: DataFrame
+
 
-    Rows are written to files clustered by group and sorted by descending score; Spark rebalances them, so that a group
-    with a third of all rows is spread over many tasks and files. Row groups are then read from their
-    footers' statistics: first, for each group, those of the highest maximum until n rows are covered, and all that
-    hold several groups or have no statistics; then all others but those strictly below their group's n-th score, which is
-    known by then. Rows with a null group, score or id and NaN scores have no place in an order and are left out;
-    equal rows count once.
+def cluster(rows: DataFrame, group: str, score: str, id_column: str, row_group_bytes: int = 8 << 20) -> Clustered:
+    """Files clustered by group, each by descending score, and their index.
+
+    Spark rebalances the files by size, so that a group with a third of all rows is spread over many of them. As the best rows of
+    all groups of a file are in its first row groups, the others are skipped even where a row group holds many groups. The index is made from the
+    columns of group and score alone; it can be kept for any later N. Rows with a null group, score or id and NaN scores have no
+    place in an order and are left out.
     """
     usable = rows.select(F.col(group).alias("g"), F.col(score).cast("double").alias("score"), F.col(id_column).alias("id"))
     usable = usable.where("g is not null and score is not null and not isnan(score) and id is not null")
-    clustered = usable.hint("rebalance", "g").sortWithinPartitions("g", F.desc("score"), "id")
-    stage = Stage(clustered, {"parquet.block.size": str(row_group_bytes), "parquet.block.size.row.check.min": "100"})
+    ordered = usable.hint("rebalance", "g").sortWithinPartitions(F.desc("score"), "id")
+    stage = Stage(ordered, {"parquet.block.size": str(row_group_bytes), "parquet.block.size.row.check.min": "100"})
     spark = rows.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(stage.path).select("path")
-    stats = Stage(files.mapInPandas(_footers, STATS)).df
-    single = F.col("least_group").isNotNull() & (F.col("least_group") == F.col("most_group"))
-    before = F.sum("n").over(W.partitionBy("least_group").orderBy(F.desc("most_score"), "path", "row_group").rowsBetween(W.unboundedPreceding, -1))
-    ones = stats.where(single).withColumn("before", F.coalesce(before, F.lit(0)))
-    first = stats.where(~F.coalesce(single, F.lit(False))).select("path", "row_group").unionByName(ones.where(F.col("before") < n).select("path", "row_group"))
-    order = [F.desc("score"), F.asc("id")]
+    footers = Stage(files.mapInPandas(_footers, FOOTERS)).df
+    placed = stage.df.select("g", "score", F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("at"))
+    placed = placed.join(broadcast_if_small(footers), "name").withColumn("row_group", F.size(F.filter("starts", lambda x: x <= F.col("at"))) - 1)
+    index = placed.groupBy("path", "row_group", "g").agg(F.count("*").alias("n"), F.max("score").alias("most"))
+    return Clustered(stage, Stage(index).df)
+
 
-    def read(which: DataFrame) -> DataFrame:
-        return which.repartition("path", "row_group").mapInPandas(_read(n), ROWS)
+def waves(data: Clustered, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(best, first, later): the first row groups read, the n best rows of each group in them, and the row groups still to be read.
 
-    best = Stage(capped(read(first).distinct(), "g", n, order)).df
+    First, for each group, come the row groups of its highest maxima until n rows are covered. Then the n-th score of every group is known,
+    and a row group is skipped if its maximum of every group in it is strictly below that group's n-th score.
+    """
+    before = F.sum("n").over(W.partitionBy("g").orderBy(F.desc("most"), "path", "row_group").rowsBetween(W.unboundedPreceding, -1))
+    first = Stage(data.index.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).select("path", "row_group").distinct()).df
+    best = Stage(capped(_rows(first, n).distinct(), "g", n, _order())).df
     nth = best.groupBy("g").agg(F.when(F.count("*") >= n, F.min("score")).alias("nth"))
-    later = ones.where(F.col("before") >= n).join(nth, F.col("least_group") == F.col("g"), "left")
-    later = later.where(F.col("nth").isNull() | (F.col("most_score") >= F.col("nth"))).select("path", "row_group")
-    merged = capped(best.unionByName(read(later)).distinct(), "g", n, order)
+    later = data.index.join(nth, "g", "left").where(F.col("nth").isNull() | (F.col("most") >= F.col("nth")))
+    later = later.select("path", "row_group").distinct().join(first, ["path", "row_group"], "left_anti")
+    return best, first, later
+
+
+def _order() -> list[Column]:
+    return [F.desc("score"), F.asc("id")]
+
+
+def _rows(which: DataFrame, n: int) -> DataFrame:
+    return which.repartition("path", "row_group").mapInPandas(_read(n), ROWS)
+
+
+def top_per_group(rows: DataFrame, group: str, score: str, id_column: str, n: int, row_group_bytes: int = 8 << 20) -> DataFrame:
+    """group, score, id of the ``n`` rows of each group with the highest score, then the smallest id.
+
+    Rows are clustered and read in two waves of row groups, all others skipped; the result is exact. Rows that ``cluster`` leaves out have no
+    place; equal rows count once.
+    """
+    best, _, later = waves(cluster(rows, group, score, id_column, row_group_bytes), n)
+    merged = capped(best.unionByName(_rows(later, n)).distinct(), "g", n, _order())
     return merged.select(F.col("g").alias(group), F.col("score").alias(score), F.col("id").alias(id_column))
+
+
+def skips(rows: DataFrame, group: str, score: str, id_column: str, n: int, row_group_bytes: int = 8 << 20) -> DataFrame:
+    """row_groups, first, later, skipped: how many row groups there are, are read in each wave, and are not read."""
+    data = cluster(rows, group, score, id_column, row_group_bytes)
+    _, first, later = waves(data, n)
+    counts = data.index.agg(F.count_distinct("path", "row_group").alias("row_groups")).crossJoin(first.agg(F.count("*").alias("first"))).crossJoin(later.agg(F.count("*").alias("later")))
+    return counts.withColumn("skipped", F.col("row_groups") - F.col("first") - F.col("later"))

@@ -54,6 +54,19 @@ def test_top_per_group(spark):
     assert topn.top_per_group(df.limit(0), "kind", "points", "name", 7).count() == 0
 
 
+def test_row_groups_of_many_groups_are_skipped(spark):
+    """20,000 groups of up to 30 rows, many in each row group: exact, with row groups skipped."""
+    rng = random.Random(14)
+    rows = [(f"g{k % 20_000:05d}", float(rng.randrange(10_000)), f"i{k:07d}") for k in range(600_000)]
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["kind", "points", "name"]))
+    got = topn.top_per_group(df, "kind", "points", "name", 2, row_group_bytes=1 << 16).toPandas()
+    assert set(got.itertuples(index=False, name=None)) == brute_top(rows, 2)
+    counts = topn.skips(df, "kind", "points", "name", 2, row_group_bytes=1 << 16).first()
+    assert counts["skipped"] > 0 and counts["first"] + counts["later"] + counts["skipped"] == counts["row_groups"]
+
+
 def test_cutoffs(spark):
     rng = random.Random(6)
     rows = [(g, round(rng.random() * rng.choice([1, 10]), rng.choice([0, 1, 6]))) for g in "abc" for _ in range(400)] + [("d", 5.0)] * 10 + [(None, 1.0), ("a", None), ("other", 1.0)]
