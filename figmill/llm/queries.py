@@ -40,6 +40,11 @@ def p2_kept(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("panel_id", "score")
 
 
+def p2_nested(spark: SparkSession, d: str) -> DataFrame:
+    """At most 6 panels of an id, 16 of an article and a tenth of all of a journal."""
+    return caps.capped_journals(table(spark, d, "panels"), table(spark, d, "qwen_panel_scoring"), 6, PANELS_PER_ARTICLE, 0.1)
+
+
 def _draw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets")
     return mix.draw(Stage(common.labelled(table(spark, d, "samples"), targets)).df, targets)
@@ -110,7 +115,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        *(p1_found, p1_splits, p1_split_report, p2_found, p2_kept, p3_found, p3_report, p3_sample, p4_found, p4_skips, p5_found, p5_cutoffs, p5_closest),
+        *(p1_found, p1_splits, p1_split_report, p2_found, p2_kept, p2_nested, p3_found, p3_report, p3_sample, p4_found, p4_skips, p5_found, p5_cutoffs, p5_closest),
         *(p6_ids, p7_packed, p7_report, p8_found),
     )
 }

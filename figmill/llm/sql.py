@@ -99,6 +99,13 @@ SQL: dict[str, str] = {
     "p1_split_report": "select split_name, true near, 0::bigint torn from split_targets",
     "p2_found": f"with recursive {ARTICLES}, {SCORES}, {BEST} select panel_id from ranked where k > 16",
     "p2_kept": f"with recursive {ARTICLES}, {SCORES}, {BEST} select panel_id, score from ranked where k <= 16",
+    "p2_nested": f"""with recursive {ARTICLES}, {SCORES}, {BEST}, journals as (
+        select l.label article, min(nullif(trim(p.journal), '')) journal from panels p join (select paper_id, min(ks) ks from keyed group by paper_id) k using (paper_id)
+        join label l on l.entity = k.ks[1] group by l.label
+    ), one as (select *, row_number() over (partition by regexp_extract(panel_id, '(?s)^(.*)__fig', 1) order by score desc, panel_id) a from best
+    ), two as (select *, row_number() over (partition by article order by score desc, panel_id) b from one where a <= 6
+    ), three as (select *, row_number() over (partition by coalesce(journal, '') order by score desc, panel_id) c from two left join journals using (article) where b <= 16)
+    select panel_id, score from three where c <= (select count(*) // 10 from best)""",
     "p3_found": f"with {LABELLED}, {NEED} select quota_no from need where available < needed",
     "p4_found": f"""with {_records("mix_targets", _known("subtype", "mix_targets", "subtype") + " subtype")}, {SCORES} select subtype, panel_id from (
         select subtype, panel_id, row_number() over (partition by subtype order by score desc, panel_id) k from record join score using (panel_id) where subtype is not null)

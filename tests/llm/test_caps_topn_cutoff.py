@@ -21,6 +21,16 @@ def test_nested_caps(spark):
     assert caps.nested_caps(df.limit(0), [("author", 5)], [F.asc("id")]).count() == 0 and caps.nested_caps(df, [("author", 0)], [F.asc("id")]).count() == 0
 
 
+def test_inner_and_share_caps_change_the_result(spark):
+    rows = [(i, f"k{i % 4}", f"a{i % 4 // 2}", "j", float(i)) for i in range(40)] + [(100, "k9", "a9", "other", 0.0)]
+    df = spark.createDataFrame(rows, "id int, key string, article string, journal string, score double")
+    order = [F.desc("score"), F.asc("id")]
+    kept = lambda levels: {r["id"] for r in caps.nested_caps(df, levels, order).collect()}
+    assert len(kept([("article", 8)])) == 17 and len(kept([("key", 3), ("article", 8)])) == 13
+    assert len(kept([("key", 2), ("article", 5)])) == 9 and len(kept([("article", 5)])) == 11
+    assert kept([("key", 3), ("article", 8), ("journal", 0.25)]) == {*range(30, 40), 100}
+
+
 def test_scores(spark):
     t = "timestamp '2026-01-0{}'"
     rows = [("p", t.format(1), "3.0D"), ("p", t.format(2), "double('NaN')"), ("p", t.format(3), "null"), ("q", t.format(1), "12.0D"), ("q", "null", "1.0D"), ("r", t.format(1), "null"), (None, t.format(1), "1.0D"), ("p", t.format(1), "3.0D")]
