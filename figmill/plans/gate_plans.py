@@ -117,6 +117,7 @@ _PICTURE_RULES: list[tuple[str, str, str]] = [
     ("unpacks_bytes", "critical", r"\b(b64decode|frombytes|frombuffer|bytesio)\s*\("),
     ("copies_file", "critical", r"\b(copyfile|copy2|shutil\.\w+)\s*\("),
     ("shows_raster", "minor", r"\b(imshow|figimage|imsave)\s*\("),
+    ("names_picture", "minor", r"[a-z0-9_]\.(png|tiff?|jpe?g|svg)\b"),
 ]
 _DOC_RULES: list[tuple[str, str, str]] = [("import", "minor", "^\\s*import "), ("save", "major", "savefig\\("), ("label", "minor", "set_[xy]label\\("), ("bar", "minor", "\\.bar\\(")]
 _DOC_CASE = "case " + " ".join(f"when regexp_matches(lower(t), '{p}') then '{c}'" for c, _, p in _DOC_RULES) + " end"
@@ -150,8 +151,9 @@ def line_findings_all(spark: SparkSession, d: str) -> DataFrame:
 @query(
     r"""with line as (select doc_id, lower(unnest(string_split_regex(text, '\r\n|\n|\r'))) t from documents where text is not null), named as (
         select doc_id, case when regexp_matches(t, '\b(imread|image\.open|loadimg)\s*\(') then 1 when regexp_matches(t, '\b(b64decode|frombytes|frombuffer|bytesio)\s*\(') then 2
-            when regexp_matches(t, '\b(copyfile|copy2|shutil\.\w+)\s*\(') then 3 when regexp_matches(t, '\b(imshow|figimage|imsave)\s*\(') then 4 end k from line)
-    select doc_id, count(*) filter (k = 1) reads_picture, count(*) filter (k = 2) unpacks_bytes, count(*) filter (k = 3) copies_file, count(*) filter (k = 4) shows_raster
+            when regexp_matches(t, '\b(copyfile|copy2|shutil\.\w+)\s*\(') then 3 when regexp_matches(t, '\b(imshow|figimage|imsave)\s*\(') then 4
+            when regexp_matches(t, '[a-z0-9_]\.(png|tiff?|jpe?g|svg)\b') then 5 end k from line)
+    select doc_id, count(*) filter (k = 1) reads_picture, count(*) filter (k = 2) unpacks_bytes, count(*) filter (k = 3) copies_file, count(*) filter (k = 4) shows_raster, count(*) filter (k = 5) names_picture
     from named where k is not null group by doc_id"""
 )
 def image_use_counts(spark: SparkSession, d: str) -> DataFrame:

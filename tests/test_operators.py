@@ -98,7 +98,7 @@ def test_line_findings(spark):
 def test_picture_rules(spark):
     from figmill.plans.gate_plans import _PICTURE_RULES
 
-    lines = {"a = plt.imread ('x')": "reads_picture", "Image.open(p)": "reads_picture", "io.BytesIO(b)": "unpacks_bytes", "np.frombuffer(b)": "unpacks_bytes", "shutil.move(a, b)": "copies_file", "copyfile(a, b)": "copies_file", "ax.imshow(z)": "shows_raster", "ax.plot(x)": None, "opened = 1": None, "imread": None}
+    lines = {"a = plt.imread ('x')": "reads_picture", "Image.open(p)": "reads_picture", "io.BytesIO(b)": "unpacks_bytes", "np.frombuffer(b)": "unpacks_bytes", "shutil.move(a, b)": "copies_file", "copyfile(a, b)": "copies_file", "ax.imshow(z)": "shows_raster", "ax.plot(x)": None, "opened = 1": None, "imread": None, "see fig_1.png": "names_picture", "a.pngs": None}
     df = spark.createDataFrame(list(enumerate(lines)), "id int, code string")
     got = {r["id"]: r["category"] for r in audit.findings(df, "id", "code", _PICTURE_RULES).collect()}
     assert [got.get(i) for i in range(len(lines))] == list(lines.values())
