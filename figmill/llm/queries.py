@@ -58,6 +58,11 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return _draw(spark, d)[1]
 
 
+def p3_needs(spark: SparkSession, d: str) -> DataFrame:
+    """What each quota needs and how many records match it: the part of the report that has one right answer."""
+    return _draw(spark, d)[1].select("quota_no", "needed", "available")
+
+
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return _draw(spark, d)[0]
 
@@ -115,7 +120,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        *(p1_found, p1_splits, p1_split_report, p2_found, p2_kept, p2_nested, p3_found, p3_report, p3_sample, p4_found, p4_skips, p5_found, p5_cutoffs, p5_closest),
+        *(p1_found, p1_splits, p1_split_report, p2_found, p2_kept, p2_nested, p3_found, p3_report, p3_needs, p3_sample, p4_found, p4_skips, p5_found, p5_cutoffs, p5_closest),
         *(p6_ids, p7_packed, p7_report, p8_found),
     )
 }

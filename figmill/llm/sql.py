@@ -107,6 +107,7 @@ SQL: dict[str, str] = {
     ), three as (select *, row_number() over (partition by coalesce(journal, '') order by score desc, panel_id) c from two left join journals using (article) where b <= 16)
     select panel_id, score from three where c <= (select count(*) // 10 from best)""",
     "p3_found": f"with {LABELLED}, {NEED} select quota_no from need where available < needed",
+    "p3_needs": f"with {LABELLED}, {NEED} select quota_no, needed::bigint needed, available from need",
     "p4_found": f"""with {_records("mix_targets", _known("subtype", "mix_targets", "subtype") + " subtype")}, {SCORES} select subtype, panel_id from (
         select subtype, panel_id, row_number() over (partition by subtype order by score desc, panel_id) k from record join score using (panel_id) where subtype is not null)
     where k <= 12""",
