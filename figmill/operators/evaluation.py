@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from figmill.functions.jsonx import stable_hash
 from figmill.operators.arrays import total
+from figmill.operators.joins import skew_lookup
 
 #: Functions from a batch to a batch, by name; a caller may add its own.
 BACKENDS: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
@@ -83,10 +85,15 @@ def problem_rates(audits: DataFrame, group: list[str], complete: Column, problem
 
 def exemplars(df: DataFrame, group: str, id_column: str) -> DataFrame:
     """For each row the first other id of its group, or null: the least id, or for that one the second."""
-    least = df.groupBy(group).agg(F.min(id_column).alias("__first"))
-    second = df.join(least, group).where(F.col(id_column) != F.col("__first")).groupBy(group).agg(F.min(id_column).alias("__second"))
-    both = least.join(second, group, "left")
-    return df.join(both, group, "left").withColumn("exemplar", F.when(F.col(id_column) == F.col("__first"), F.col("__second")).otherwise(F.col("__first"))).drop("__first", "__second")
+    # Two distinct ids a group are all that is needed; each task sends no more, and look-ups split hot groups off.
+    ids = df.where(F.col(group).isNotNull() & F.col(id_column).isNotNull()).select(group, id_column).distinct()
+    ids = ids.withColumn("__rank", F.row_number().over(W.partitionBy(group).orderBy(id_column))).where("__rank <= 2")
+    two = ids.groupBy(group).agg(F.min(id_column).alias("__first"), F.max(F.when(F.col("__rank") == 2, F.col(id_column))).alias("__second"))
+    rows = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("__rows"))
+    own = skew_lookup(df.where(F.col(group).isNotNull()), rows.join(two, group, "left"), group, "__rows")
+    exemplar = F.when(F.col(id_column) == F.col("__first"), F.col("__second")).otherwise(F.col("__first"))
+    alone = df.where(F.col(group).isNull()).withColumn("exemplar", F.lit(None).cast(df.schema[id_column].dataType))
+    return own.withColumn("exemplar", exemplar).drop("__first", "__second").unionByName(alone)
 
 
 def leaderboard(runs: DataFrame, summaries: DataFrame, key: str, metrics: list[str], label: str = "") -> DataFrame:

@@ -35,14 +35,15 @@ def shard(df: DataFrame, order: list[str], shards: int, index: int) -> DataFrame
 def prefix_by_keys(df: DataFrame, order: list[str], key: str, most: int) -> DataFrame:
     """Rows in order up to the first of the (most + 1)-th distinct key; later rows are lost even of keys seen.
 
-    0 keeps all rows. Only the first places of most + 1 keys are gathered.
+    0 keeps all rows. Only the first place of each key is aggregated, and only most + 1 of them are sorted; rows are
+    filtered where they are, neither sorted nor written. ``order`` should be total: of rows equal to the first lost one, all are lost.
     """
     if most < 1:
         return df
-    rows = Stage(indexed(df, order, "__i")).df
-    firsts = rows.groupBy(key).agg(F.min("__i").alias("first")).orderBy("first").limit(most + 1).collect()
-    kept = rows if len(firsts) <= most else rows.where(F.col("__i") < firsts[-1]["first"])
-    return kept.drop("__i")
+    place = F.struct(*order)
+    firsts = df.groupBy(key).agg(F.min(place).alias("__place")).orderBy("__place").limit(most + 1)
+    cut = firsts.agg(F.when(F.count("*") > most, F.max("__place")).alias("__cut"))  # one row
+    return df.crossJoin(F.broadcast(cut)).where(F.col("__cut").isNull() | (place < F.col("__cut"))).drop("__cut")
 
 
 def by_priority(df: DataFrame, key: str, priority: str, run: str) -> DataFrame:

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from figmill.operators import aggregates as A
@@ -131,3 +130,14 @@ def test_facets(spark):
     assert ids(facets.Search()) == [1, 2, 3] and ids(facets.Search(q="bar")) == [1, 3] and ids(facets.Search(state="open")) == [2, 3]
     counts = facets.facet(df, c, facets.Search(equal={"journal": "K"}), "journal").collect()
     assert [tuple(r) for r in counts] == [("J", 2), ("K", 1)]
+
+
+def test_exemplars_of_a_hot_group(spark):
+    from figmill.operators import evaluation
+
+    rows = [("hot", i % 300) for i in range(900)] + [("two", 5), ("two", 3), ("one", 1), ("one", 1), (None, 7), ("null", None)]
+    df = spark.createDataFrame(rows, "kind string, id int")
+    got = [tuple(r) for r in evaluation.exemplars(df, "kind", "id").collect()]
+    assert len(got) == len(rows)
+    assert {g for g in got if g[0] != "hot"} == {("two", 5, 3), ("two", 3, 5), ("one", 1, None), (None, 7, None), ("null", None, None)}
+    assert {g for g in got if g[0] == "hot"} == {("hot", i, 1 if i == 0 else 0) for i in range(300)}
