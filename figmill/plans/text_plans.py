@@ -56,10 +56,10 @@ def mined_identifiers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """select distinct case when regexp_extract(lower(coalesce(doi, '')), '(10\\.[0-9]{4,9}/[^\\s?#<>]+)', 1) <> '' then '"' || regexp_replace(regexp_extract(lower(trim(doi)), '(10\\.[0-9]{4,9}/[^\\s?#<>]+)', 1), '[.,;)\\]}"'']+$', '') || '"[DOI]'
-    when regexp_extract(coalesce(pmcid, ''), '(?i)\\b(PMC[0-9]+)\\b', 1) <> '' then upper(regexp_extract(pmcid, '(?i)\\b(PMC[0-9]+)\\b', 1)) || '[PMCID]' else paper_id end clause from papers where trim(paper_id) <> '' and paper_id = trim(paper_id)"""
+    when regexp_extract(coalesce(pmcid, ''), '(?i)\\b(PMC[0-9]+)\\b', 1) <> '' then upper(regexp_extract(pmcid, '(?i)\\b(PMC[0-9]+)\\b', 1)) || '[PMCID]' else nullif(trim(paper_id), '') end clause from papers"""
 )
 def search_clauses(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "papers").where("trim(paper_id) <> '' and paper_id = trim(paper_id)")
+    p = table(spark, d, "papers")
     return p.select(ids.search_clause(F.col("doi"), F.col("pmcid"), F.lit(None).cast("string"), F.col("paper_id")).alias("clause")).distinct()
 
 
@@ -188,13 +188,16 @@ def facet_totals(spark: SparkSession, d: str) -> DataFrame:
     return facets.totals(table(spark, d, "part"), _catalogue(), "p_type", "p_brand").withColumn("score", F.round("score", 6))
 
 
-@query("select distinct subtype, case when length(caption) > 40 then left(caption, 40) || '...' else caption end short, right(caption, 10) tail from samples where subtype is not null and regexp_matches(subtype, '^[a-z_]+$')")
+@query("select distinct subtype, case when length(caption) > 40 then left(caption, 40) || '...' else caption end short, right(caption, 10) tail from samples")
 def display_text(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "samples").where(F.col("subtype").rlike(r"^[a-z_]+\z"))
+    s = table(spark, d, "samples")
     return s.select("subtype", text.truncated(F.col("caption"), 40, "...").alias("short"), text.tail(F.col("caption"), 10).alias("tail")).distinct()
 
 
-@query("select distinct regexp_extract(target_png, '([^/]+)$', 1) file, regexp_extract(dataset_dir, '([^/]+)$', 1) folder, nullif(regexp_extract(dataset_dir, 'fig0*([0-9]+)_[^/]*$', 1), '')::int figure from samples where coalesce(dataset_dir, '') <> '' and coalesce(target_png, '') <> '' and dataset_dir not like '%/'")
+_LAST = "regexp_extract(rtrim({0}, '/'), '([^/]*)$', 1)"
+
+
+@query(f"select distinct {_LAST.format('target_png')} file, {_LAST.format('dataset_dir')} folder, nullif(regexp_extract(lower({_LAST.format('dataset_dir')}), 'fig0*([0-9]+)', 1), '')::int figure from samples")
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "samples").where("coalesce(dataset_dir, '') <> '' and coalesce(target_png, '') <> '' and dataset_dir not like '%/'")
+    s = table(spark, d, "samples")
     return s.select(text.last_path_part(F.col("target_png")).alias("file"), text.last_path_part(F.col("dataset_dir")).alias("folder"), text.figure_index_in(F.col("dataset_dir")).alias("figure")).distinct()
