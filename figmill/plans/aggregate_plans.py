@@ -17,9 +17,9 @@ def _rounded(columns: list[Column], names: list[str]) -> list[Column]:
     return [F.round(c, DIGITS).alias(n) for c, n in zip(columns, names, strict=True)]
 
 
-def _stats(c: Column) -> list[Column]:
-    count, nulls, *rest = A.stats(c)
-    return [count.alias("count"), nulls.alias("null_count"), *_rounded(rest, ["mean", "median", "std"])]
+def _group_stats(df: DataFrame, group: list[str], column: str) -> DataFrame:
+    out = A.group_stats(df, group, column)
+    return out.select(*group, "count", "null_count", *_rounded([F.col(c) for c in ("mean", "median", "std")], ["mean", "median", "std"]))
 
 
 def _stats_sql(c: str) -> str:
@@ -37,12 +37,12 @@ _PLAIN = "(select * replace (case when not isnan(overall_quality_score) then ove
 
 @query(f"select l_returnflag, {_stats_sql('l_extendedprice')} from lineitem group by 1")
 def stats_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*_stats(F.col("l_extendedprice")))
+    return _group_stats(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
 
 
 @query(f"select category, data_subtype, {_stats_sql('overall_quality_score')} from {_PLAIN} group by 1, 2")
 def stats_by_two_keys(spark: SparkSession, d: str) -> DataFrame:
-    return _plain(spark, d).groupBy("category", "data_subtype").agg(*_stats(F.col("overall_quality_score")))
+    return _group_stats(_plain(spark, d), ["category", "data_subtype"], "overall_quality_score")
 
 
 _SETS = [("o_orderpriority",), ("o_orderstatus",), ("c_mktsegment",), ("l_returnflag",), ("l_linestatus",), ("o_orderstatus", "l_returnflag"), ("c_mktsegment", "l_linestatus")]
@@ -106,8 +106,9 @@ def _quantile_sql(c: str) -> str:
 
 @query(f"select l_linestatus, {_quantile_sql('l_quantity')} from lineitem group by 1")
 def linear_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    low, *mid, high = A.quantiles(F.col("l_quantity"))
-    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(low, *_rounded(mid, ["p25", "median", "p75"]), high)
+    points = {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "max": 1.0}
+    out = A.group_quantiles(table(spark, d, "lineitem"), ["l_linestatus"], "l_quantity", points)
+    return out.select("l_linestatus", "min", *_rounded([F.col(c) for c in ("p25", "median", "p75")], ["p25", "median", "p75"]), "max")
 
 
 @query(

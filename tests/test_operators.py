@@ -141,3 +141,15 @@ def test_exemplars_of_a_hot_group(spark):
     assert len(got) == len(rows)
     assert {g for g in got if g[0] != "hot"} == {("two", 5, 3), ("two", 3, 5), ("one", 1, None), (None, 7, None), ("null", None, None)}
     assert {g for g in got if g[0] == "hot"} == {("hot", i, 1 if i == 0 else 0) for i in range(300)}
+
+
+def test_group_quantiles_are_exact(spark):
+    rng = random.Random(21)
+    rows = [("hot", round(rng.lognormvariate(0, 3), 4)) for _ in range(4000)] + [("same", 2.0)] * 900 + [("two", 1.0), ("two", 4.0), ("one", 5.0), (None, 1.0), (None, 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "kind string, points double").withColumn("name", F.lit("clash"))
+    marks = {"low": 0.0, "p25": 0.25, "median": 0.5, "p99": 0.99, "high": 1.0}
+    got = {r["kind"]: tuple(r)[1:] for r in A.group_quantiles(df, ["kind"], "points", marks, ranges=20).collect()}
+    want = {r["kind"]: tuple(r)[1:] for r in df.where("points is not null").groupBy("kind").agg(*[F.percentile("points", F.lit(q)).alias(n) for n, q in marks.items()]).collect()}
+    assert set(got) == set(want) == {"hot", "same", "two", "one", None}
+    assert all(abs(x - y) < 1e-9 * max(1, abs(y)) for k in want for x, y in zip(got[k], want[k], strict=True))
+    assert A.group_quantiles(df.limit(0), ["kind"], "points", marks).count() == 0
