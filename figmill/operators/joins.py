@@ -98,6 +98,15 @@ def nearest_in_group(points: DataFrame, boxes: DataFrame, group: list[str], poin
 
 
 def zip_in_order(left: DataFrame, right: DataFrame, group: list[str], left_order: list[Column], right_order: list[Column]) -> DataFrame:
-    """The n-th left row of each group with its n-th right row; what is left over has no row."""
-    number = lambda order: F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    return left.withColumn("__n", number(left_order)).join(right.withColumn("__n", number(right_order)), [*group, "__n"]).drop("__n")
+    """The n-th left row of each group with its n-th right row; what is left over, and rows of null groups, have no row.
+
+    Rows are range partitioned by group and order and numbered there, so that a large group is spread over many tasks.
+    """
+    from figmill.operators.ordered import indexed  # which uses this module
+
+    def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+        rows = indexed(df, [*group, *order], "__i")
+        starts = rows.groupBy(*group).agg(F.min("__i").alias("__start"))
+        return rows.join(broadcast_if_small(starts), group).withColumn("__n", F.col("__i") - F.col("__start")).drop("__i", "__start")
+
+    return numbered(left, left_order).join(numbered(right, right_order), [*group, "__n"]).drop("__n")

@@ -10,7 +10,7 @@ from figmill.operators.joins import one_per_key
 from figmill.sources.tables import Stage
 
 
-def indexed(df: DataFrame, order: list[str], column: str = "index") -> DataFrame:
+def indexed(df: DataFrame, order: list[str | Column], column: str = "index") -> DataFrame:
     """``df`` with the place of each row from 0 in the ascending order of the columns ``order``.
 
     Rows are range partitioned and written once, so that places hold; each partition is numbered by itself and

@@ -153,3 +153,10 @@ def test_group_quantiles_are_exact(spark):
     assert set(got) == set(want) == {"hot", "same", "two", "one", None}
     assert all(abs(x - y) < 1e-9 * max(1, abs(y)) for k in want for x, y in zip(got[k], want[k], strict=True))
     assert A.group_quantiles(df.limit(0), ["kind"], "points", marks).count() == 0
+
+
+def test_zip_of_a_large_group(spark):
+    left = spark.createDataFrame([("h", i) for i in range(500)] + [("a", 2), ("a", 1), (None, 1)], "g string, x int")
+    right = spark.createDataFrame([("h", i) for i in range(700)] + [("a", 9), (None, 3), ("b", 1)], "g string, y int")
+    got = {tuple(r) for r in joins.zip_in_order(left, right, ["g"], [F.desc("x")], [F.asc("y")]).collect()}
+    assert got == {("h", 499 - i, i) for i in range(500)} | {("a", 2, 9)}
