@@ -78,9 +78,22 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumn("path", F.input_file_name())
 
 
+def _finite(c: Column, kind: T.DataType) -> Column:
+    """The value with NaN and infinities as null at any depth."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: _finite(x, kind.valueType))
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.when(c.isNotNull(), F.struct(*[_finite(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """One JSON object a line; NaN and infinities, which JSON has not, as null."""
-    safe = [F.when(~F.isnan(f.name) & (F.abs(f.name) != float("inf")), F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType | T.FloatType) else F.col(f.name) for f in df.schema]
+    """One JSON object a line; NaN and infinities, which JSON has not, as null, also within arrays, maps and structs."""
+    safe = [_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
     df.select(*safe).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 

@@ -100,3 +100,11 @@ def test_stream_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["n"], r["total"]) for r in spark.sql("select * from win").collect()] == [(2, 5.0)]
+
+
+def test_json_without_nan_at_any_depth(spark, tmp_path):
+
+    df = spark.sql("select double('NaN') a, array(1.5D, double('Infinity')) b, named_struct('c', double('NaN'), 'd', array(named_struct('e', double('NaN')))) s, map('k', double('NaN')) m, cast(null as struct<x:double>) n, 'text' `odd.name`")
+    M.write_json(df, str(tmp_path / "out"))
+    [text] = [line for f in (tmp_path / "out").glob("*.json") for line in f.read_text().splitlines()]
+    assert json.loads(text) == {"a": None, "b": [1.5, None], "s": {"c": None, "d": [{"e": None}]}, "m": {"k": None}, "n": None, "odd.name": "text"}
